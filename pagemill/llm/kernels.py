@@ -92,15 +92,12 @@ def slices(off: np.ndarray, most: int = _SLICE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows with these offsets: word hashes, first word of each row (and the end), and byte starts and ends of the words."""
-    lo, hi = int(off[0]), int(off[-1])
-    off = np.asarray(off, np.int64) - lo
-    low = table[raw[lo:hi]]
-    n = hi - lo
+def word_spans(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each row (and the end), and starts and ends of the runs of nonzero bytes; no run crosses rows."""
+    n = len(low)
     if not n:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, _U), np.zeros(len(off), np.int64), z, z
+        return np.zeros(len(off), np.int64), z, z
     inside = low != 0
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -110,13 +107,31 @@ def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
     finish[:-1] &= ~inside[1:]
     last = off[1:][off[1:] > 0] - 1
     finish[last] = inside[last]
-    s, e = np.flatnonzero(begin), np.flatnonzero(finish) + 1
+    s = np.flatnonzero(begin)
+    return np.searchsorted(s, off), s, np.flatnonzero(finish) + 1
+
+
+def hashes(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings low[s:e]."""
+    n = len(low)
     up, down = powers(n + 1)
     with np.errstate(over="ignore"):
         acc = np.zeros(n + 1, _U)
         np.cumsum(_BYTE[low] * up[:n], out=acc[1:])
-        h = mix64((acc[e] - acc[s]) * down[s] + (e - s).astype(_U) * _U(_ODD))
-    return h, np.searchsorted(s, off), s, e
+        return mix64((acc[e] - acc[s]) * down[s] + (e - s).astype(_U) * _U(_ODD))
+
+
+def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows with these offsets: word hashes, first word of each row (and the end), and byte starts and ends of the words."""
+    low = table[raw[int(off[0]) : int(off[-1])]]
+    first, s, e = word_spans(low, np.asarray(off, np.int64) - int(off[0]))
+    return hashes(low, s, e), first, s, e
+
+
+def hash_of(word: str) -> np.uint64:
+    """The hash that ``words`` gives a word."""
+    low = np.frombuffer(word.encode(), np.uint8)
+    return hashes(low, np.array([0]), np.array([len(low)]))[0]
 
 
 _STEP = seeds64(64, 12)

@@ -144,12 +144,13 @@ def _block(percent: int):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, most_pivots: int = 4) -> DataFrame:
-    """Classes of near-duplicate documents: (doc_id, n_shingles, component_id, kept).
+    """Classes of near-duplicate documents: (doc_id, n_shingles, component_id, kept, told, stays).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its
     distinct k-word shingles (fewer words: the whole sequence; none: empty, linked with nothing).
     Two documents are linked when the Jaccard similarity of their full sets is at least
-    ``percent / 100``; component_id is the least doc_id that links lead to.
+    ``percent / 100``; component_id is the least doc_id that links lead to. ``told`` is the text's
+    64-bit hash, and ``stays`` marks the one text of each class that has that doc_id.
 
     Documents with one word sequence form a class, worked on once. Bands of each class's SetSketch
     registers put it into buckets. In pivot rounds each bucket's members are compared with one of
@@ -237,10 +238,26 @@ def _unsettled(bands: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _labelled(prof: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    placed = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(best, "root").select("node", F.col("component_id").alias("c"))
-    out = prof.select("doc_id", "node", "n_shingles").join(placed, "node", "left")
+    placed = classes.select("node", "least", "told").join(roots, "node", "left").select("node", "least", "told", F.coalesce("root", "node").alias("root"))
+    best = placed.groupBy("root").agg(F.min(F.struct("least", "told")).alias("best"))
+    placed = placed.join(best, "root").select("node", "best")
+    out = prof.select("doc_id", "told", "node", "n_shingles").join(placed, "node", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("c"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("best.least"))
+    stays = alone | ((F.col("doc_id") == F.col("best.least")) & (F.col("told") == F.col("best.told")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "told", stays.alias("stays"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each class: the one with the least doc_id; of equal rows, one stays."""
+    found = near_duplicates(docs, k, percent)
+    found = Stash(docs.sparkSession, "near").put("found", found.select("doc_id", "told", "n_shingles", "stays"))
+    gone = found.where("not stays").select(F.col("doc_id").alias("__doc"), F.col("told").alias("__told")).distinct()
+    told = F.xxhash64("text")
+    out = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc")) & (told == F.col("__told")), "left_anti")
+    again = found.where("stays and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "told").count().where("count > 1")
+    if not again.isEmpty():
+        again = again.select(F.col("doc_id").alias("__doc"), F.col("told").alias("__told"))
+        same = (F.col("doc_id").cast("long") == F.col("__doc")) & (told == F.col("__told"))
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
