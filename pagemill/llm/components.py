@@ -8,30 +8,32 @@ from pyspark.sql import functions as F
 from pagemill.llm.storage import Stash
 
 
+def _is_starred(e: DataFrame) -> bool:
+    """Whether every node is either a root or has exactly one edge, to a root."""
+    role = e.select(F.col("b").alias("node"), F.col("a").alias("up")).union(e.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("up")).distinct())
+    seen = role.groupBy("node").agg(F.count("up").alias("ups"), F.count("*").alias("n"), F.min("up").alias("lo"), F.max("up").alias("hi"))
+    return seen.where("ups > 0 and (n > ups or lo < hi)").isEmpty()
+
+
 def components(edges: DataFrame, stash: Stash, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the least node that can be reached.
 
-    Large-star and small-star rounds alternate until no edge changes. A node's neighbours are never
+    Large-star and small-star rounds alternate until the edges are stars. A node's neighbours are never
     gathered: each star is a grouped minimum and a join with it, whose skewed keys Spark can split.
     """
     e = stash.put("cc", edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    before = None
     for _ in range(most_rounds):
+        if _is_starred(e):
+            return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        # large-star: each node links its greater neighbours with the least of its neighbours and itself
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # large-star: each node links its greater neighbours with its least neighbour
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a < b")
         # small-star: each node links its smaller neighbours, and itself, with the least of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         done = stash.put("cc2", small)
-        n = done.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         stash.drop("cc")
         stash.paths["cc"] = stash.paths.pop("cc2")
         e = done
-        if tuple(n) == before:
-            break
-        before = tuple(n)
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    raise RuntimeError("components did not settle")

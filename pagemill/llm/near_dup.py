@@ -18,8 +18,8 @@ BANDS, ROWS = 32, 6
 SLACK = 6 * (0.8 * 0.2 / (BANDS * ROWS)) ** 0.5
 #: Members of a bucket that one task compares with each other at once.
 BLOCK = 256
-#: Pivot rounds stop when the pairs left to compare are at most so many a document.
-LEFT = 2.0
+#: Rounds in which each bucket's members are compared with one of them.
+PIVOTS = 2
 
 
 def _sets(raw: np.ndarray, off: np.ndarray, k: int):
@@ -86,7 +86,7 @@ def _verify(percent: int):
             sizes = [np.array([len(x.as_buffer()) // 8 for x in c]) for c in (fa, fb)]
             est = S.joint_estimate((regs[0] > regs[1]).sum(1), (regs[0] < regs[1]).sum(1), regs[0].shape[1], *sizes)
             keep = [i for i in np.flatnonzero(est >= floor) if _alike(np.frombuffer(fa[i].as_buffer(), np.uint64), np.frombuffer(fb[i].as_buffer(), np.uint64), percent)]
-            yield pa.record_batch([batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64()))], ["a", "b"])
+            yield pa.record_batch([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("root_a", "root_b")], ["a", "b"])
 
     return run
 
@@ -110,13 +110,13 @@ class _Groups:
 
 
 def _block(percent: int):
-    """All pairs of a bucket's block, or of two of its blocks, that no earlier link or bucket settles; a forest of the links found."""
+    """Compares all pairs of a bucket's block, or of two of its blocks, that no earlier link or bucket settles; links of components."""
     floor = percent / 100 - SLACK
 
     def run(table: pa.Table) -> pa.Table:
         n = len(table)
         key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
-        nodes, roots, part = (table.column(c).to_numpy() for c in ("node", "root", "part"))
+        roots, part = (table.column(c).to_numpy() for c in ("root", "part"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(n, -1)
         full = [np.frombuffer(x, np.uint64) for x in table.column("full").to_pylist()]
         size = np.array([len(x) for x in full])
@@ -131,19 +131,21 @@ def _block(percent: int):
             if here:
                 other = other[~(keys[other, :here] == keys[x, :here]).any(axis=1)]
             other = other[100 * np.minimum(size[other], size[x]) >= percent * np.maximum(size[other], size[x])]
+            # the share of equal registers is near the similarity: far too low a share needs no estimate
+            other = other[(regs[other] == regs[x]).sum(1) >= (floor - 0.1) * regs.shape[1]]
             if not len(other):
                 continue
             est = S.joint_estimate((regs[x] > regs[other]).sum(1), (regs[x] < regs[other]).sum(1), regs.shape[1], np.full(len(other), size[x]), size[other])
             for y in other[np.argsort(-est, kind="stable")][: int((est >= floor).sum())]:
                 if groups.find(x) != groups.find(y) and _alike(full[x], full[y], percent):
                     groups.join(x, y)
-                    found.append((nodes[x], nodes[y]))
+                    found.append((roots[x], roots[y]))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, most_pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Classes of near-duplicate documents: (doc_id, n_shingles, component_id, kept, told, stays).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a document's set holds its
@@ -154,9 +156,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, most_pivots:
 
     Documents with one word sequence form a class, worked on once. Bands of each class's SetSketch
     registers put it into buckets. In pivot rounds each bucket's members are compared with one of
-    them; what verified links leave in different components of a bucket is then compared in
-    blocks of bounded size, all with all, so no pair that shares a bucket goes unseen, while the
-    rows made stay in proportion to the input.
+    them, which gathers dense groups. What then lies outside a bucket's largest component is compared, in
+    blocks of bounded size, with each other and with that component, so no pair that shares a bucket
+    goes unseen; blocks give back links of components, not pairs.
 
     Only ``doc_id`` and ``text`` are read, so other columns don't matter. A null text is empty. A
     null doc_id is a document of its own: component_id is null and it is kept. Rows that repeat
@@ -178,38 +180,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, most_pivots:
     if not named.groupBy("doc_id", "told").count().where("count > 1").isEmpty():
         full = full.dropDuplicates(["node"])  # of rows that repeat a document, one is enough
     full = stash.put("full", full)
-    n_classes = classes.count()
-
-    edges = spark.createDataFrame([], "a long, b long")
-    roots = None
-    for turn in range(most_pivots):
-        member = bands2 if roots is None else _unsettled(bands2, roots)
+    roots = some.select("node", F.col("node").alias("root"))
+    for turn in range(PIVOTS):
         if turn:
-            left = member.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-            todo = left.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
-            if todo == 0:
+            # a bucket that one component fills stays so
+            member = bands2 = _unsettled(bands2, roots, stash)
+            if member.isEmpty():
                 return _labelled(prof, classes, roots)
-            if todo <= LEFT * max(n_classes, 1000):
-                break
-        pivot = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), *[c for c in member.columns if c != "key"])).alias("p"))
-        pairs = member.join(pivot, "key").where(F.col("node") != F.col("p.node"))
-        if roots is not None:
-            pairs = pairs.where(F.col("root") != F.col("p.root"))
-        pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        else:
+            member = bands2.withColumn("root", F.col("node"))
+        pivot = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("p"))
+        pairs = member.join(pivot, "key").where(F.col("root") != F.col("p.root"))
+        this, that = F.struct("node", "root"), F.struct("p.node", "p.root")
+        pairs = pairs.select(F.least(this, that).alias("l"), F.greatest(this, that).alias("g")).select(F.col("l.node").alias("a"), F.col("l.root").alias("root_a"), F.col("g.node").alias("b"), F.col("g.root").alias("root_b")).distinct()
         sides = [full.select(*[F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in full.columns]) for s in "ab"]
-        good = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(percent), "a long, b long")
-        good = stash.put("good", good)
-        edges = edges.union(good)
-        roots = stash.put("roots", components(edges, stash))
-    member = _unsettled(bands2, roots)
-    part = member.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = member.join(part, "key").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-    dealt = dealt.select("key", "node", "root", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("o"))
-    dealt = dealt.select("key", "node", "root", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")).join(full, "node")
-    more = dealt.groupBy("key", "i", "j").applyInArrow(_block(percent), "a long, b long")
-    more = stash.put("more", more)
-    roots = stash.put("roots", components(edges.union(more), stash))
-    return _labelled(prof, classes, roots)
+        links = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(percent), "a long, b long")
+        roots = _merged(roots, links, stash)
+    member = _unsettled(bands2, roots, stash)
+    if member.isEmpty():
+        return _labelled(prof, classes, roots)
+    dealt = _dealt(member).join(full, "node")
+    links = dealt.groupBy("key", "i", "j").applyInArrow(_block(percent), "a long, b long")
+    return _labelled(prof, classes, _merged(roots, links, stash))
+
+
+def _merged(roots: DataFrame, links: DataFrame, stash: Stash) -> DataFrame:
+    """Roots after components, given by their roots, are linked."""
+    up = components(links, stash).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    return stash.put("roots", roots.join(up, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
+
+
+def _dealt(member: DataFrame) -> DataFrame:
+    """(key, i, j, node, root, part): each bucket's members in the pairs of blocks that they are compared in.
+
+    The bucket's largest component fills blocks of its own, which are not compared with each other.
+    """
+    size = member.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("big"), F.sum("c").alias("n"))
+    parts = size.select("key", F.col("big.root").alias("most"), F.ceil((F.col("n") - F.col("big.c")) / BLOCK).alias("others"), F.ceil(F.col("big.c") / BLOCK).alias("bigs"))
+    h = F.xxhash64("node")
+    own = member.join(parts, "key").withColumn("in", F.col("root") == F.col("most"))
+    own = own.withColumn("part", F.when(F.col("in"), F.col("others") + F.pmod(h, "bigs")).otherwise(F.pmod(h, "others")))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("in"), F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1)))
+    return own.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "node", "root", "part")
 
 
 def _full(k: int):
@@ -230,11 +242,13 @@ def _full(k: int):
     return run
 
 
-def _unsettled(bands: DataFrame, roots: DataFrame) -> DataFrame:
+def _unsettled(bands: DataFrame, roots: DataFrame, stash: Stash) -> DataFrame:
     """Members, with their components, of the buckets that hold more than one component."""
-    now = bands.join(roots.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_ = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return now.join(open_, "key")
+    now = stash.put("now", bands.select("key", "node").join(roots, "node"))
+    several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    out = stash.put("open", now.join(several, "key"))
+    stash.drop("now")
+    return out
 
 
 def _labelled(prof: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
