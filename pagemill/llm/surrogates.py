@@ -58,7 +58,7 @@ def _secret_value(m: Column) -> Column:
 def _parts(m: Column) -> Column:
     """The entities of a match, as structs of role and canonical value: what has one surrogate everywhere."""
     kind = _kind(m)
-    title = F.regexp_extract(m, rf"^({_TITLE})", 1)
+    title = F.regexp_extract(m, rf"^({_TITLE})\b", 1)
     role = F.when(title.isin(*MALE), "given_m").when(title.isin(*FEMALE), "given_f").otherwise("given_n")
     given = F.regexp_extract(m, rf"^\S+ ({_NAME}) {_NAME}$", 1)
     surname = F.regexp_extract(m, rf"({_NAME})$", 1)
