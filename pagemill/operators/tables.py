@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.page_layout import Word
+from pagemill.functions.page_tables import page_tables
 from pagemill.functions.text import is_dot_leader, strip_leaders
 from pagemill.operators import seq
 
@@ -106,3 +109,35 @@ def grid_quality(cells: DataFrame, by: list[str]) -> DataFrame:
     out = col.groupBy(*by).agg(F.max("rows").alias("n_rows"), F.count("*").alias("n_cols"), F.count_if("blank").alias("n_blank"))
     phantom = F.col("n_blank") / F.col("n_cols") >= PHANTOM
     return out.withColumns({"phantom": phantom, "confidence": F.when(phantom, "low").otherwise("high")})
+
+
+_TABLE = "table_no int, x0 double, top double, x1 double, bottom double, confidence string, warnings array<string>, cells array<array<string>>"
+
+
+def _page(left: pa.Table, right: pa.Table) -> pa.Table:
+    words = [Word(r["s"], r["x"], r["y"], r["w"], r["h"], r["font"], r["font_size"]) for r in left.sort_by([("band_no", "ascending"), ("word_no", "ascending")]).to_pylist()]
+    marks = right.to_pylist()
+    found = page_tables(words, [m["box"] for m in marks if m["stroke"]], [m["box"] for m in marks if not m["stroke"]])
+    page = left if len(left) else right
+    doc, no = (page.column(c)[0].as_py() for c in PAGE)
+    rows = [{"doc_id": doc, "page_no": no, "table_no": i, **dict(zip(("x0", "top", "x1", "bottom"), t.region, strict=True)), "confidence": t.confidence, "warnings": t.warnings, "cells": t.grid} for i, t in enumerate(found)]
+    num = [(c, pa.float64()) for c in ("x0", "top", "x1", "bottom")]
+    return pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("table_no", pa.int32()), *num, ("confidence", pa.string()), ("warnings", pa.list_(pa.string())), ("cells", pa.list_(pa.list_(pa.string())))]))
+
+
+def tables(words: DataFrame, strokes: DataFrame, rects: DataFrame) -> DataFrame:
+    """(doc_id, page_no, table_no, region, confidence, warnings, cells): the ruled tables of each page.
+
+    A page's words and rules meet in one task; pages are the unit of work, and no page depends on another.
+    """
+    s = strokes.select(*PAGE, F.array("x0", "y0", "x1", "y1").alias("box"), F.lit(True).alias("stroke"))
+    r = rects.select(*PAGE, F.array("min_x", "min_y", "max_x", "max_y").alias("box"), F.lit(False).alias("stroke"))
+    marks = s.unionByName(r)
+    need = words.select(*PAGE, "band_no", "word_no", "s", "x", "y", "w", "h", "font", "font_size")
+    return need.groupBy(*PAGE).cogroup(marks.groupBy(*PAGE)).applyInArrow(_page, f"doc_id long, page_no int, {_TABLE}")
+
+
+def table_cells(found: DataFrame) -> DataFrame:
+    """(doc_id, page_no, table_no, row, col, text): one row for each cell."""
+    row = found.select(*PAGE, "table_no", F.posexplode("cells").alias("row", "r"))
+    return row.select(*PAGE, "table_no", "row", F.posexplode("r").alias("col", "text"))

@@ -286,3 +286,23 @@ def q_rag_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_debug_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXP-1: a page's lines and spans as JSON, in top-left coordinates."""
     return export.page_json(layout.words(_glyphs(spark, sf_dir)), 792.0)
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS row, l_returnflag, l_linestatus, l_partkey FROM lineitem)
+SELECT l_orderkey AS doc_id, 0 AS table_no, row::INT AS row, unnest([0, 1, 2]) AS col, unnest([l_returnflag, l_linestatus || ' ok', l_partkey::VARCHAR]) AS text FROM r"""
+)
+def q_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TAB-1 to 7, GRD-1 to 5, 10: orders set as ruled tables of three columns, and read back from rules and words."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), (F.row_number().over(order) - 1).alias("r"), "l_returnflag", "l_linestatus", "l_partkey")
+    y = lambda r: (F.lit(700) - r * 20).cast("double")
+    word = lambda i, x, s: F.struct(F.lit(i).alias("word_no"), F.lit(x).alias("x"), s.alias("s"), (F.length(s) * 6).cast("double").alias("w"))
+    cells = F.array(word(0, 5.0, F.col("l_returnflag")), word(1, 105.0, F.col("l_linestatus")), word(2, 130.0, F.lit("ok")), word(3, 205.0, F.col("l_partkey").cast("string")))
+    words = li.select("doc_id", "page_no", F.col("r").alias("band_no"), F.inline(cells), y(F.col("r") + 0.75).alias("y"), F.lit(10.0).alias("h"), F.lit("F").alias("font"), F.lit(10.0).alias("font_size"))
+    n = li.groupBy("doc_id", "page_no").agg(F.max("r").alias("n"))
+    across = F.transform(F.sequence(F.lit(0), F.col("n") + 1), lambda i: F.struct(F.lit(0.0).alias("x0"), y(i).alias("y0"), F.lit(300.0).alias("x1"), y(i).alias("y1")))
+    down = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.struct((j * 100).cast("double").alias("x0"), F.lit(700.0).alias("y0"), (j * 100).cast("double").alias("x1"), y(F.col("n") + 1).alias("y1")))
+    strokes = n.select("doc_id", "page_no", F.inline(F.concat(across, down)))
+    rects = strokes.limit(0).select("doc_id", "page_no", *[F.lit(0.0).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
+    return tables.table_cells(tables.tables(words, strokes, rects)).select("doc_id", "table_no", "row", "col", "text")
