@@ -45,9 +45,9 @@ def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal over presence features: each coordinate has its own rate, and L1 keeps most weights at 0."""
 
-    alpha: float = 0.3
+    alpha: float = 0.6
     beta: float = 1.0
-    l1: float = 1.5
+    l1: float = 5.0
     l2: float = 1.0
 
     def __post_init__(self) -> None:
@@ -88,7 +88,7 @@ def _learner(weight: dict[int, float], rounds: int):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int = PER_CLASS, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int = PER_CLASS, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights) other than 0, the bias last; from at most ``per_class`` documents of each label that meet ``train``."""
     texts, weight = sample(docs, labels, label, train, per_class)
     got = texts.coalesce(1).mapInArrow(_learner(weight, rounds), "place int, weight double").toPandas()
