@@ -17,6 +17,7 @@ WORD_GAP_WIDTH, WORD_GAP_SIZE = 0.3, 0.15
 GUTTER_GAP, GUTTER_MERGE, GUTTER_SHARE = 1.5, 2.0, 0.25
 GUTTER_LEAST, GUTTER_BANDS, GUTTER_ZERO = 3, 4, 0.5
 BLOCK_GAP = 0.6
+TURNED, TURN_LEAST, ADVANCE = 10.0, 3, 1.5
 
 
 def quantize(v: np.ndarray) -> np.ndarray:
@@ -194,3 +195,36 @@ def page_lines(s, x, y, w, h, font, size) -> list[Line]:
     out = lines(rows, at, gap)
     place(out, at, gap)
     return out
+
+
+def is_turned(s, rotation) -> bool:
+    """Whether most of a page's glyphs, three at least, stand a quarter turn to the left."""
+    real = [r for t, r in zip(s, rotation, strict=True) if t and t != "\n"]
+    turned = sum(abs(r - 90) <= TURNED for r in real)
+    return turned >= TURN_LEAST and 2 * turned > len(real)
+
+
+def upright(x, y, w, h, size, rotation, bottom: float, right: float):
+    """Columns x, y, w, h, size and rotation of a turned page, set upright.
+
+    A turned glyph's size is its height, and its advance reaches to the next glyph in its row, one and a half sizes at most.
+    """
+    x, y, w, h, size, rotation = (np.array(v, float) for v in (x, y, w, h, size, rotation))
+    nx, ny = y - bottom, right - x
+    turned = np.flatnonzero(np.abs(rotation - 90) <= TURNED)
+    tall = np.where(h > 0, h, 8.0)
+    order = turned[np.lexsort((nx[turned], -np.round(ny[turned])))]
+    start = 0
+    while start < len(order):
+        reach = max(tall[order[start]] / 2, 1.0)
+        end = start + 1
+        while end < len(order) and abs(ny[order[end]] - ny[order[start]]) <= reach:
+            end += 1
+        row = order[start:end][np.argsort(nx[order[start:end]], kind="stable")]
+        step = tall[order[start]]
+        for i, j in zip(row, [*row[1:], None], strict=True):
+            gap = nx[j] - nx[i] if j is not None else 0.0
+            step = min(gap, ADVANCE * tall[order[start]]) if gap > 0 else step
+            w[i], size[i], h[i], rotation[i] = step, tall[i], tall[i], 0.0
+        start = end
+    return nx, ny, w, h, size, rotation

@@ -17,6 +17,11 @@ SNAP, SHORT, LEAST = 3.0, 1.0, 3.0
 BAND, LINE, ABUT, WELD = 4.0, 5.0, 0.25, 4.0
 RULE_SHARE, RULE_REACH, RULE_SLACK, RULE_EDGE = 0.5, 12.0, 0.75, 2.0
 GUTTER, GUTTER_SHARE, NESTED, PHANTOM = 16.0, 0.25, 3.0, 0.6
+OVERHANG, OPEN_WIDTH, OPEN_PAD, OPEN_BANDS = 6.0, 6.0, 2.0, 2
+BODY_SHARE, BODY_ROWS, ROW_GAP = 0.6, 3, 4.0
+GARBLED, GARBLED_SHARE = 3, 0.3
+# Families of fonts that set Indic scripts by Latin codes.
+LEGACY_FONTS = ("krutidev", "kruti dev", "devlys", "chanakya", "walkman")
 
 
 @dataclass(frozen=True)
@@ -33,6 +38,7 @@ class Cell:
     top: float
     x1: float
     bottom: float
+    open: bool = False
 
 
 @dataclass
@@ -150,6 +156,66 @@ def grouped(cells: list[Cell]) -> list[list[Cell]]:
     return [g for _, g in sorted(out.items()) if len(g) > 1]
 
 
+def open_columns(cells: list[Cell], words: list[Word], flat: list[Edge], left_end: float, right_end: float) -> list[Cell]:
+    """Cells beside a table that has no outer rule there.
+
+    A row's two rules must reach beyond the table's side, with a word between them; two such rows make a column.
+    """
+    x0, x1 = min(c.x0 for c in cells), max(c.x1 for c in cells)
+    top, bottom = min(c.top for c in cells), max(c.bottom for c in cells)
+    near = [e for e in flat if top - SNAP <= e.at <= bottom + SNAP]
+    steps = clusters([e.at for e in near], SNAP)
+    beside = [w for w in words if top <= middle(w) <= bottom]
+    out = []
+    for left in (True, False):
+        side = [w for w in beside if (w.x + w.w / 2 < x0 if left else w.x + w.w / 2 > x1)]
+        if not side:
+            continue
+        a, b = (max(min(w.x for w in side) - OPEN_PAD, left_end), x0) if left else (x1, min(max(w.right for w in side) + OPEN_PAD, right_end))
+        if b - a < OPEN_WIDTH:
+            continue
+        over = [any(abs(e.at - t) <= SNAP and (e.lo <= x0 - OVERHANG and e.hi >= x0 if left else e.hi >= x1 + OVERHANG and e.lo <= x1) for e in near) for t in steps]
+        rows = [Cell(a, t, b, u, True) for i, (t, u) in enumerate(zip(steps, steps[1:], strict=False)) if over[i] and over[i + 1] and any(t <= middle(w) <= u for w in side)]
+        if len(rows) >= OPEN_BANDS:
+            out += rows
+    return out
+
+
+def split_rows(cells: list[Cell], words: list[Word], flat: list[Edge]) -> list[Cell]:
+    """Cells of a body that is ruled in columns only, cut into the rows that its words form.
+
+    The body's cells reach the table's foot, hold three rows of words each and most of the table's height; no rule
+    crosses it, and most rows have words in two columns.
+    """
+    top, foot = min(c.top for c in cells), max(c.bottom for c in cells)
+    inside = {c: [middle(w) for w in words if _holds(c, w)] for c in cells}
+    tall = [c for c in cells if abs(c.bottom - foot) <= SNAP and len(clusters(inside[c], ROW_GAP)) >= BODY_ROWS]
+    if len({c.x0 for c in tall}) < 2:
+        return cells
+    start = min(c.top for c in tall)
+    left, right = min(c.x0 for c in tall), max(c.x1 for c in tall)
+    crossed = any(start + SNAP < e.at < foot - SNAP and e.hi > left and e.lo < right for e in flat)
+    rows = clusters([m for c in tall for m in inside[c]], ROW_GAP)
+    shared = sum(sum(any(abs(m - r) <= ROW_GAP for m in inside[c]) for c in tall) >= 2 for r in rows)
+    if foot - start < BODY_SHARE * (foot - top) or crossed or len(rows) < BODY_ROWS or 2 * shared <= len(rows):
+        return cells
+    cuts = [(a + b) / 2 for a, b in zip(rows, rows[1:], strict=False)]
+    out = [c for c in cells if c not in tall]
+    for c in tall:
+        at = [c.top, *(x for x in cuts if c.top < x < c.bottom), c.bottom]
+        out += [Cell(c.x0, a, c.x1, b, c.open) for a, b in zip(at, at[1:], strict=False)]
+    return out
+
+
+def legacy_text(cells: list[Cell], words: list[Word]) -> bool:
+    """Whether a table's words come garbled from a font that sets an Indic script by Latin codes."""
+    alpha = [w for w in words if re.search(r"[^\W\d_]", w.s) and any(_holds(c, w) for c in cells)]
+    legacy = [w for w in alpha if any(f in (w.font or "").lower() for f in LEGACY_FONTS)]
+    garbled = sum(not re.search("[\u0900-\u0dff]", w.s) or bool(re.search("[A-Za-z]", w.s)) for w in legacy)
+    broken = any(re.search("\u094d[\u093e-\u094c]", w.s) for w in legacy)
+    return broken or (garbled >= GARBLED and garbled >= GARBLED_SHARE * len(alpha))
+
+
 def middle(w: Word) -> float:
     """The height of a word's centre."""
     return -(w.y + w.h / 2)
@@ -235,7 +301,15 @@ def grid_of(cells: list[Cell], words: list[Word], rules: list[Edge]) -> list[lis
     """A table's rows of texts."""
     words = welded(cells, words, rules)
     rows = clusters([c.top for c in cells], BAND)
-    places, column = columns(cells, words, rules, rows)
+    closed = [c for c in cells if not c.open]
+    places, own = columns(closed, words, rules, rows)
+    # open columns stand apart from closed ones, however near
+    beside = clusters([c.x0 for c in cells if c.open], BAND)
+    order = sorted([(x, 0, i) for i, x in enumerate(places)] + [(x, 1, i) for i, x in enumerate(beside)])
+    rank = {(kind, i): n for n, (_, kind, i) in enumerate(order)}
+    it = iter(own)
+    column = [rank[1, nearest(beside, c.x0)] if c.open else rank[0, next(it)] for c in cells]
+    places = [x for x, _, _ in order]
     held: dict[tuple[int, int], list[Word]] = defaultdict(list)
     walls: dict[int, tuple[tuple[int, int], float]] = {}
     missed = []
@@ -306,15 +380,18 @@ def _unnested(text: list[list[str]], right: list[float]) -> list[list[str]]:
     return text
 
 
-def page_tables(words: list[Word], strokes, rects) -> list[Table]:
-    """A page's ruled tables, from the top; those without any text are passed over."""
+def page_tables(words: list[Word], strokes, rects, left: float = float("-inf"), right: float = float("inf")) -> list[Table]:
+    """A page's ruled tables, from the top; those without any text are passed over. ``left`` and ``right`` are the page's sides."""
     edges = merged(page_edges(strokes, rects))
-    rules = [e for e in edges if not e.across]
+    rules, flat = [e for e in edges if not e.across], [e for e in edges if e.across]
     out = []
     for cells in grouped(lattice(edges)):
+        cells = split_rows(cells, words, flat)
+        cells = cells + open_columns(cells, words, flat, left, right)
         grid = grid_of(cells, words, rules)
         if not any(t.strip() for row in grid for t in row):
             continue
         blank = sum(all(not row[c].strip() for row in grid) for c in range(len(grid[0])))
-        out.append(Table(cells, grid, ["phantom_columns"] if blank >= PHANTOM * len(grid[0]) else []))
+        warnings = ["phantom_columns"] * (blank >= PHANTOM * len(grid[0])) + ["legacy_font"] * legacy_text(cells, words)
+        out.append(Table(cells, grid, warnings))
     return sorted(out, key=lambda t: (t.region[1], t.region[0]))

@@ -141,3 +141,21 @@ def _by(glyphs: DataFrame, key: Column, order: Column, descending: bool) -> Data
     g = glyphs.groupBy(*PAGE, key.cast("long").alias("position")).agg(F.array_sort(F.collect_list(order)).alias("g"))
     at = F.col("position").desc() if descending else F.col("position")
     return g.select(*PAGE, "position", F.row_number().over(Window.partitionBy(*PAGE).orderBy(at)).alias("ordinal"), F.array_join(F.transform("g", lambda e: e["s"]), "").alias("s"), F.size("g").cast("long").alias("n"))
+
+
+def upright(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Glyphs with those of pages turned a quarter to the left set upright; other pages' pass through untouched."""
+    real = F.coalesce((F.col("s") != "") & (F.col("s") != "\n"), F.lit(False))
+    turned = F.abs(F.col("rotation") - 90) <= L.TURNED
+    n = glyphs.groupBy(*PAGE).agg(F.count_if(real).alias("n"), F.count_if(real & turned).alias("t")).where((F.col("t") >= L.TURN_LEAST) & (F.col("t") * 2 > F.col("n")))
+    boxed = n.select(*PAGE).join(pages.select(*PAGE, "media_box"), [*PAGE]).select(*PAGE, F.col("media_box")[1].alias("low"), F.col("media_box")[2].alias("right"))
+    columns = ["x", "y", "w", "h", "font_size", "rotation"]
+
+    def turn(table: pa.Table) -> pa.Table:
+        got = L.upright(*(table.column(c).to_numpy(zero_copy_only=False) for c in columns), table.column("low")[0].as_py(), table.column("right")[0].as_py())
+        for c, v in zip(columns, got, strict=True):
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(v))
+        return table.drop_columns(["low", "right"])
+
+    done = glyphs.join(boxed, [*PAGE]).groupBy(*PAGE).applyInArrow(turn, glyphs.schema)
+    return glyphs.join(boxed.select(*PAGE), [*PAGE], "left_anti").unionByName(done)

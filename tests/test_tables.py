@@ -71,3 +71,38 @@ def test_edges_and_crossings_as_relations(spark):
     e = tables.joined(tables.snapped(tables.edges(strokes, rects)))
     assert sorted((r.orient, r.at) for r in e.collect()) == [("h", -50.0), ("h", -0.5), ("v", 10.0)]
     assert {(r.x, r.top) for r in tables.crossings(e).collect()} == {(10.0, -50.0), (10.0, -0.5)}
+
+
+def test_open_columns_beside_a_table():
+    ys = [700, 680, 660]
+    strokes = [(x, 700, x, 660) for x in (50, 100, 150)] + [(20, y, 180, y) for y in ys]
+    words = [word(t, x, y) for y, row in ((685, "abcd"), (665, "efgh")) for x, t in zip((25, 60, 110, 160), row)]
+    assert page_tables(words, strokes, [])[0].grid == [list("abcd"), list("efgh")]
+    short = [(x, 700, x, 660) for x in (50, 100, 150)] + [(45, y, 155, y) for y in ys]
+    assert page_tables(words, short, [])[0].grid == [list("bc"), list("fg")]
+
+
+def test_rows_of_a_body_without_rules():
+    strokes = grid_strokes([0, 60, 120], [700, 680]) + grid_strokes([0, 60, 120], [680, 600])
+    words = [word("h1", 5, 685), word("h2", 65, 685)] + [word(f"{c}{i}", x, 660 - 15 * i) for i in range(4) for x, c in ((5, "a"), (65, "b"))]
+    assert page_tables(words, strokes, [])[0].grid == [["h1", "h2"]] + [[f"a{i}", f"b{i}"] for i in range(4)]
+    callout = [w for w in words if not w.s.startswith("b")] + [word("prose", 65, 640)]
+    assert len(page_tables(callout, strokes, [])[0].grid) == 2
+
+
+def test_legacy_fonts_are_doubtful():
+    strokes = grid_strokes([0, 60, 120], [700, 680])
+    words = [Word(s, x, 685, 10, 10, "ABC+KrutiDev010", 10) for s, x in (("jke", 2), ("uke", 20), ("dqy", 70))]
+    assert page_tables(words, strokes, [])[0].warnings == ["legacy_font"]
+    assert page_tables([Word("नाम", 2, 685, 10, 10, "KrutiDev010", 10), word("x", 70, 685)], strokes, [])[0].warnings == []
+
+
+def test_turned_pages_are_set_upright(spark):
+    rows = [(1, 1, i, c, "F", 0.0, 100.0, 50.0 + 5 * i, 0.0, 10.0, 90.0, "tounicode") for i, c in enumerate("turned")]
+    rows += [(1, 2, i, c, "F", 10.0, 5.0 * i, 50.0, 5.0, 10.0, 0.0, "tounicode") for i, c in enumerate("plain")]
+    from pagemill import schema
+
+    glyphs = spark.createDataFrame(rows, schema.GLYPH)
+    pages = spark.createDataFrame([(1, p, [0.0, 0.0, 612.0, 792.0]) for p in (1, 2)], "doc_id long, page_no int, media_box array<double>")
+    got = {r.page_no: r for r in layout.words(layout.upright(glyphs, pages)).collect()}
+    assert (got[1].s, got[1].x, got[1].y, got[1].font_size) == ("turned", 50.0, 512.0, 10.0) and (got[2].s, got[2].y) == ("plain", 50.0)
