@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import kernels as K
-from pagemill.llm.storage import Stash
 
 #: A boundary is where the top BITS of the 16-bit gear hash, which the last 16 bytes set, are 0.
-BITS, GEAR = 5, 16
+BITS, GEAR = 4, 16
 #: No boundary follows another candidate within LEAST bytes; chunks longer than MOST are cut.
-LEAST, MOST = 16, 1024
-#: Words that consecutive repeated chunks must begin to count as a repeated passage. Chunks at the
-#: two ends of a passage also hold other text, so this is less than the passages of 50 words sought.
-WORDS = 30
+LEAST, MOST = 8, 1024
+#: Words that consecutive repeated chunks must begin to count as a repeated passage. Chunks, of 25 bytes
+#: on average, at the two ends of a passage also hold other text, and the hash needs 16 bytes to forget what precedes
+#: it: of a passage of 50 words about 40 lie in whole repeated chunks.
+WORDS = 25
 
 _TABLE = (K.seeds64(256, 61) >> np.uint64(48)).astype(np.uint16)
 
@@ -51,6 +51,19 @@ def boundaries(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return starts
 
 
+def _digests(batches):
+    for batch in batches:
+        raw, off = K.spans(batch.column("text"))
+        doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for i, j in K.slices(off):
+            at = off[i : j + 1] - off[i]
+            s = boundaries(raw, off[i : j + 1])
+            if len(s):
+                digest = K.hashes(raw[off[i] : off[j]], s, np.append(s[1:], at[-1]))
+                row = np.searchsorted(at, s, "right") - 1
+                yield pa.record_batch([pa.array(digest.view(np.int64)), pa.array(doc[i + row])], ["digest", "doc_id"])
+
+
 def _chunks(batches):
     for batch in batches:
         raw, off = K.spans(batch.column("text"))
@@ -67,7 +80,7 @@ def _chunks(batches):
             row = np.searchsorted(at, s, "right") - 1
             # documents of one id are told apart in the upper half of a chunk's place
             where = ((told[i + row] & 0x7FFFFFFF) << 32) | (s - at[row])
-            yield pa.record_batch([pa.array(K.hashes(low, s, e).view(np.int64)), pa.array(doc[i + row]), pa.array(where), pa.array((e - s).astype(np.int32)), pa.array(words.astype(np.int32))], ["digest", "doc_id", "at", "size", "words"])
+            yield pa.record_batch([pa.array(K.hashes(low, s, e).view(np.int64)), pa.array(doc[i + row]), pa.array(where), pa.array(((e - s) << 11 | words).astype(np.int32))], ["digest", "doc_id", "at", "extent"])
 
 
 def repeated_passages(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
@@ -84,12 +97,13 @@ def repeated_passages(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
     table gives an empty result; only doc_id and text are read. Digests have 64 bits; a passage
     needs several equal ones in a row.
     """
-    stash = Stash(docs.sparkSession, "passages")
     rows = docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("told"), "text")
-    chunks = stash.put("chunks", rows.mapInArrow(_chunks, "digest long, doc_id long, at long, size int, words int"))
-    again = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    held = stash.put("held", chunks.join(again, "digest").select("doc_id", "at", "size", "words", "first").distinct())
-    stash.drop("chunks")
+    # cutting twice costs less than keeping or shuffling whole chunk rows for both sides
+    again = rows.mapInArrow(_digests, "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    chunks = rows.mapInArrow(_chunks, "digest long, doc_id long, at long, extent int")
+    # dealt by document once, for the grouping and for the windows
+    held = chunks.join(again, "digest").repartition("doc_id").groupBy("doc_id", "at").agg(F.max("extent").alias("extent"), F.min("first").alias("first"))
+    held = held.select("doc_id", "at", "first", F.shiftright("extent", 11).alias("size"), F.col("extent").bitwiseAND(F.lit(2047)).alias("words"))
     by = Window.partitionBy("doc_id").orderBy("at")
     runs = held.withColumn("fresh", F.coalesce((F.col("at") != F.lag(F.col("at") + F.col("size")).over(by)).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("fresh").over(by)).groupBy("doc_id", "run").agg(
