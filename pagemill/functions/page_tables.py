@@ -19,6 +19,8 @@ RULE_SHARE, RULE_REACH, RULE_SLACK, RULE_EDGE = 0.5, 12.0, 0.75, 2.0
 GUTTER, GUTTER_SHARE, NESTED, PHANTOM = 16.0, 0.25, 3.0, 0.6
 OVERHANG, OPEN_WIDTH, OPEN_PAD, OPEN_BANDS = 6.0, 6.0, 2.0, 2
 BODY_SHARE, BODY_ROWS, ROW_GAP = 0.6, 3, 4.0
+HEADER_COLUMNS, HEADER_BANDS = 3, 2
+COMB_COLUMNS, COMB_ROWS, COMB_STRADDLE, COMB_HALF = 2, 2, 0.5, 6.0
 GARBLED, GARBLED_SHARE = 3, 0.3
 # Families of fonts that set Indic scripts by Latin codes.
 LEGACY_FONTS = ("krutidev", "kruti dev", "devlys", "chanakya", "walkman")
@@ -207,6 +209,81 @@ def split_rows(cells: list[Cell], words: list[Word], flat: list[Edge]) -> list[C
     return out
 
 
+def banded_rows(cells: list[Cell], rects) -> list[Cell]:
+    """Cells cut at the steps of fills that share the table's foot and one another's sides, each shorter than the last.
+
+    The steps must be regular (no gap beyond twice the median) and span most of the table's height.
+    """
+    top, foot = min(c.top for c in cells), max(c.bottom for c in cells)
+    left, right = min(c.x0 for c in cells), max(c.x1 for c in cells)
+    fills = [(x0, -y1, x1) for x0, y0, x1, y1 in rects if abs(-y0 - foot) <= SNAP and x1 >= left - SNAP and x0 <= right + SNAP and top + SNAP <= -y1 < foot - SNAP]
+    if any(len(clusters([f[i] for f in fills], SNAP)) != 1 for i in (0, 2)):
+        return cells
+    steps = clusters([f[1] for f in fills], SNAP)
+    gaps = sorted(b - a for a, b in zip(steps, steps[1:], strict=False))
+    if len(steps) < BODY_ROWS or steps[-1] - steps[0] < BODY_SHARE * (foot - top) or gaps[-1] > 2 * gaps[len(gaps) // 2]:
+        return cells
+    out = []
+    for c in cells:
+        at = [c.top, *(t for t in steps if c.top + SNAP < t < c.bottom - SNAP), c.bottom]
+        out += [Cell(c.x0, a, c.x1, b, c.open) for a, b in zip(at, at[1:], strict=False)]
+    return out
+
+
+def header_columns(cells: list[Cell], words: list[Word]) -> list[Cell]:
+    """Cells under a header of three columns or more whose body is ruled in the label column only.
+
+    A column gets a cell beside each label if words that no cell holds stand beside two labels at least.
+    """
+    rows = clusters([c.top for c in cells], BAND)
+    by_row = defaultdict(list)
+    for c in cells:
+        by_row[nearest(rows, c.top)].append(c)
+    head = next((r for r in range(len(rows) - 1, -1, -1) if len(by_row[r]) >= HEADER_COLUMNS), None)
+    if head is None:
+        return []
+    heads = sorted(by_row[head], key=lambda c: c.x0)
+    labels = sorted((c for r in range(head + 1, len(rows)) for c in by_row[r]), key=lambda c: c.top)
+    if not labels or any(abs(c.x0 - heads[0].x0) > SNAP or c.x1 > heads[0].x1 + SNAP for c in labels):
+        return []
+    lost = [w for w in words if not any(_holds(c, w) for c in cells)]
+    out = []
+    for h in heads[1:]:
+        column = [Cell(h.x0, c.top, h.x1, c.bottom) for c in labels]
+        if sum(any(_holds(c, w) for w in lost) for c in column) >= HEADER_BANDS:
+            out += column
+    return out
+
+
+def comb_body(cells: list[Cell], words: list[Word], edges: list[Edge], others: list[list[Cell]]) -> list[Cell]:
+    """Rows below a closed header that vertical rules alone run on from.
+
+    Two rules at least must cross the header's foot between its sides, no other table or word may cross them, and two rows must
+    have words in two columns beside the first.
+    """
+    foot = max(c.bottom for c in cells)
+    under = max((e for e in edges if e.across and abs(e.at - foot) <= SNAP), key=lambda e: e.hi - e.lo, default=None)
+    if under is None:
+        return []
+    left, right = under.lo, under.hi
+    teeth = [e for e in edges if not e.across and e.lo <= foot + SNAP < e.hi and left + 1 < e.at < right - 1]
+    if len(teeth) < COMB_COLUMNS:
+        return []
+    end = max(e.hi for e in teeth)
+    if any(foot < (c.top + c.bottom) / 2 < end and left < (c.x0 + c.x1) / 2 < right for o in others for c in o):
+        return []
+    cuts = sorted({left, *(e.at for e in teeth)})
+    body = [w for w in words if foot < middle(w) <= end and left <= w.x + w.w / 2 <= right]
+    if any(w.x < x - COMB_STRADDLE and w.right > x + COMB_STRADDLE for w in body for x in cuts[1:]):
+        return []
+    spans = list(zip(cuts, [*cuts[1:], right], strict=True))
+    bands = clusters([middle(w) for w in body], ROW_GAP)
+    filled = [{i for w in body if nearest(bands, middle(w)) == b for i, (x0, x1) in enumerate(spans) if x0 <= w.x + w.w / 2 < x1} - {0} for b in range(len(bands))]
+    if sum(len(f) >= 2 for f in filled) < COMB_ROWS:
+        return []
+    return [Cell(x0, b - COMB_HALF, x1, b + COMB_HALF) for b in bands for x0, x1 in spans]
+
+
 def legacy_text(cells: list[Cell], words: list[Word]) -> bool:
     """Whether a table's words come garbled from a font that sets an Indic script by Latin codes."""
     alpha = [w for w in words if re.search(r"[^\W\d_]", w.s) and any(_holds(c, w) for c in cells)]
@@ -385,9 +462,13 @@ def page_tables(words: list[Word], strokes, rects, left: float = float("-inf"),
     edges = merged(page_edges(strokes, rects))
     rules, flat = [e for e in edges if not e.across], [e for e in edges if e.across]
     out = []
-    for cells in grouped(lattice(edges)):
+    closed = grouped(lattice(edges))
+    for found in closed:
+        cells = found + open_columns(found, words, flat, left, right)
         cells = split_rows(cells, words, flat)
-        cells = cells + open_columns(cells, words, flat, left, right)
+        cells = banded_rows(cells, rects)
+        cells = cells + header_columns(cells, words)
+        cells = cells + comb_body(cells, words, edges, [o for o in closed if o is not found])
         grid = grid_of(cells, words, rules)
         if not any(t.strip() for row in grid for t in row):
             continue

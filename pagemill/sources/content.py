@@ -54,6 +54,7 @@ class Page:
     images: list[tuple] = field(default_factory=list)
     fonts: dict[str, fonts.Font] = field(default_factory=dict)
     warnings: list[tuple[str, str, str]] = field(default_factory=list)
+    shown: list[tuple[str, float, float]] = field(default_factory=list)
     text: str = ""
     error: str | None = None
 
@@ -73,7 +74,9 @@ class Interpreter:
     def show(self, data: bytes) -> None:
         s = self.state
         font = s.font or fonts.Font(source="fallback")
-        for code, text, kind in font.decode(data):
+        run = font.decode(data)
+        self.out.shown.append(("".join(t for _, t, _ in run), self.tm[4], self.tm[5]))
+        for code, text, kind in run:
             trm = times(times((s.size * s.scale, 0, 0, s.size, 0, s.rise), self.tm), s.ctm)
             w0 = font.width(code)
             size = trm[0]

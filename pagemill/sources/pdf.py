@@ -29,6 +29,8 @@ RELATIONS = {
     "rect": "page_no int, seq long, min_x double, min_y double, max_x double, max_y double",
     "stroke": "page_no int, seq long, x0 double, y0 double, x1 double, y1 double",
     "image_draw": "page_no int, seq long, x double, y double, w double, h double, filter string, declared_w int, declared_h int",
+    "show_string": "page_no int, seq long, s string, x double, y double",
+    "object": "num int, gen int, kind string, value string, stream_length long",
     "font_use": "page_no int, seq long, name string, subtype string, embedded boolean",
     "annotation": "page_no int, ordinal int, type string, uri string, to_page int, contents string, rect array<double>",
     "outline_node": "node_id int, parent_id int, depth int, ordinal int, title string, page_no int",
@@ -51,7 +53,7 @@ def rows(data: bytes, passwords: tuple[str, ...] = (), wanted: frozenset[str] =
         return
     n, warned = 0, set()
     names, numbers = S.named_destinations(doc), S.page_numbers(doc)
-    deep = bool(wanted & {"page", "glyph", "rect", "stroke", "image_draw", "font_use", "warning"})
+    deep = bool(wanted & {"page", "glyph", "rect", "stroke", "image_draw", "show_string", "font_use", "warning"})
     for n, page in doc.pages():
         if page is None:
             yield "page", n, None, None, 0, True, None, None, 0
@@ -60,7 +62,7 @@ def rows(data: bytes, passwords: tuple[str, ...] = (), wanted: frozenset[str] =
         if deep:
             p = read_page(doc, page)
             yield "page", n, box(doc, page, "MediaBox"), box(doc, page, "CropBox"), rotation(doc, page), False, p.text, p.error, len(p.images)
-            for kind, found in (("glyph", p.glyphs), ("rect", p.rects), ("stroke", p.strokes), ("image_draw", p.images)):
+            for kind, found in (("glyph", p.glyphs), ("rect", p.rects), ("stroke", p.strokes), ("image_draw", p.images), ("show_string", p.shown)):
                 if kind in wanted:
                     for i, x in enumerate(found):
                         yield kind, n, i, *x
@@ -78,6 +80,8 @@ def rows(data: bytes, passwords: tuple[str, ...] = (), wanted: frozenset[str] =
         if kind in wanted:
             for i, x in enumerate(found()):
                 yield kind, i, *x
+    if "object" in wanted:
+        yield from S.objects(doc)
     for w in sorted(warned | set(doc.warnings)):
         yield "warning", *w
     yield "document", n, doc.crypt is not None, None, S.info(doc), S.xmp(doc)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.sources.objects import DEPTH, Document, Ref, Stream, text
+import json
+
+from pagemill.sources.objects import DEPTH, Document, Name, Ref, Stream, text
 
 INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "Trapped")
 
@@ -181,3 +183,29 @@ def attachments(doc: Document):
 def xmp(doc: Document) -> bytes | None:
     m = doc.get(doc.trailer, "Root", "Metadata")
     return doc.bytes(m) if isinstance(m, Stream) else None
+
+
+def _plain(value):
+    """An object as JSON: names begin with a slash, references are arrays of R and two numbers."""
+    if isinstance(value, Stream):
+        return _plain(value.dict)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, Ref):
+        return ["R", value.num, value.gen]
+    if isinstance(value, bytes):
+        return text(value)
+    return f"/{value}" if isinstance(value, Name) else value
+
+
+def objects(doc: Document):
+    """("object", number, generation, kind, JSON, stream length) of every object in use."""
+    for num, entry in sorted(doc.xref.items()):
+        if entry[0] == "free":
+            continue
+        gen = entry[2] if entry[0] == "at" and isinstance(entry[2], int) else 0
+        v = doc.resolve(Ref(num, gen))
+        kind = "stream" if isinstance(v, Stream) else {dict: "dictionary", list: "array", bytes: "string", Name: "name", bool: "boolean", type(None): "null"}.get(type(v), "number")
+        yield "object", num, gen, kind, json.dumps(_plain(v), ensure_ascii=False, sort_keys=True), len(v.raw) if isinstance(v, Stream) else None

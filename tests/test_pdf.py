@@ -59,6 +59,13 @@ def test_rects_strokes_images_and_forms():
     assert "".join(x[2] for x in g) == "in a form" and g[0][5:7] == (120.0, 150.0)
 
 
+def test_shown_strings_and_raw_objects():
+    data = one_page("2 0 0 2 0 0 cm BT /F1 9 Tf 10 20 Td (ab) Tj [(c) 5 (d)] TJ ET")
+    assert [x[2:] for x in of(data, "show_string")][:2] == [("ab", 10.0, 20.0), ("c", 19.0, 20.0)]
+    got = {o[0]: o for o in of(data, "object")}
+    assert got[1][2:4] == ("dictionary", '{"Pages": ["R", 2, 0], "Type": "/Catalog"}') and got[4][2] == "stream" and got[4][4] > 40
+
+
 def test_inline_image():
     data = one_page("q 10 0 0 10 0 0 cm BI /W 2 /H 3 /F /AHx ID 00> EI Q BT /F1 9 Tf (after) Tj ET")
     assert of(data, "image_draw")[0][6:] == ("ASCIIHexDecode", 2, 3) and text(data) == ["after"]

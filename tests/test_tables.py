@@ -106,3 +106,25 @@ def test_turned_pages_are_set_upright(spark):
     pages = spark.createDataFrame([(1, p, [0.0, 0.0, 612.0, 792.0]) for p in (1, 2)], "doc_id long, page_no int, media_box array<double>")
     got = {r.page_no: r for r in layout.words(layout.upright(glyphs, pages)).collect()}
     assert (got[1].s, got[1].x, got[1].y, got[1].font_size) == ("turned", 50.0, 512.0, 10.0) and (got[2].s, got[2].y) == ("plain", 50.0)
+
+
+def test_fills_that_step_make_rows():
+    strokes = grid_strokes([0, 60, 120], [700, 680]) + grid_strokes([0, 60, 120], [680, 600])
+    fills = [(0, 600, 120, 680 - 20 * i) for i in range(1, 4)]
+    words = [word("h1", 5, 685), word("h2", 65, 685)] + [word(f"{c}{i}", x, 665 - 20 * i) for i in range(4) for x, c in ((5, "a"), (65, "b")) if (c, i) != ("b", 1)]
+    got = page_tables(words, strokes, fills)[0].grid
+    assert [r[0] for r in got] == ["h1", "a0", "a1", "a2", "a3"] and [r[1] for r in got] == ["h2", "b0", "", "b2", "b3"]
+
+
+def test_a_body_ruled_in_the_label_column():
+    strokes = grid_strokes([0, 60, 120, 180], [700, 680]) + grid_strokes([0, 60], [680, 660, 640])
+    words = [word(f"h{j}", 5 + 60 * j, 685) for j in range(3)] + [word("r1", 5, 665), word("r2", 5, 645), word("11", 65, 665), word("21", 65, 645), word("lone", 125, 665)]
+    got = page_tables(words, strokes, [])[0].grid
+    assert got == [["h0", "h1", "h2"], ["r1", "11", ""], ["r2", "21", ""]]
+
+
+def test_a_comb_of_rules_under_a_header():
+    strokes = [(0, y, 180, y) for y in (700, 680)] + [(0, 700, 0, 680), (180, 700, 180, 680), (60, 700, 60, 600), (120, 700, 120, 600)]
+    words = [word(f"h{j}", 5 + 60 * j, 685) for j in range(3)] + [word(f"{i}{j}", 5 + 60 * j, 655 - 20 * i) for i in range(2) for j in range(3)]
+    assert page_tables(words, strokes, [])[0].grid == [["h0", "h1", "h2"], ["00", "01", "02"], ["10", "11", "12"]]
+    assert len(page_tables([*words, word("astride", 50, 620)], strokes, [])[0].grid) == 1
