@@ -10,6 +10,7 @@ from pagemill.operators import export, layout, quality, seq, structure, tables
 from pagemill.plans import projections as P
 from pagemill.plans.catalogue import _PAGES_SQL, _glyphs, _routed, query
 from pagemill.plans.projections import GLYPHS_SQL, SHIP_SQL, table
+from pagemill.sources import pdf
 
 # text
 
@@ -306,3 +307,42 @@ def q_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     strokes = n.select("doc_id", "page_no", F.inline(F.concat(across, down)))
     rects = strokes.limit(0).select("doc_id", "page_no", *[F.lit(0.0).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")])
     return tables.table_cells(tables.tables(words, strokes, rects)).select("doc_id", "table_no", "row", "col", "text")
+
+
+# files
+
+_LINES_OF_PAGES = """l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))"""
+
+
+@query(
+    f"""WITH {_LINES_OF_PAGES}
+SELECT doc_id::VARCHAR AS path, (i // 40 + 1)::INT AS page_no, md5(string_agg(line, chr(10) ORDER BY i)) AS text, 0 AS rotate, 612.0::DOUBLE AS width, NULL::VARCHAR AS text_error FROM l GROUP BY doc_id, i // 40"""
+)
+def q_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2 to 11, 13, FLT-1, 2, DEC-4, INT-1, 7, 12: documents written as PDF files, and their pages' plain text read back."""
+    pages = pdf.parse(P.document_files(table(spark, sf_dir, "documents")), "page")
+    return pages.select("path", "page_no", F.md5("text").alias("text"), "rotate", F.col("media_box")[2].alias("width"), "text_error")
+
+
+@query(
+    f"""WITH {_LINES_OF_PAGES}
+SELECT doc_id::VARCHAR AS path, (i // 40 + 1)::INT AS page_no, (760 - 18 * (i % 40))::DOUBLE AS y, length(line) AS n, min(72.0)::DOUBLE AS x, (66 + 6 * length(line))::DOUBLE AS last_x, md5(line) AS s, 'encoding' AS enc_source
+FROM l WHERE line <> '' GROUP BY doc_id, i, line"""
+)
+def q_pdf_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INT-2 to 5: the same files' glyphs, line by line."""
+    g = pdf.parse(P.document_files(table(spark, sf_dir, "documents")), "glyph")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "s"))), lambda e: e["s"]), "")
+    g = g.groupBy("path", "page_no", "y").agg(F.count("*").alias("n"), F.round(F.min("x"), 6).alias("x"), F.round(F.max("x"), 6).alias("last_x"), F.md5(text).alias("s"), F.max("enc_source").alias("enc_source"))
+    return g.select("path", "page_no", "y", "n", "x", "last_x", "s", "enc_source")
+
+
+@query()
+def q_document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXP-2: documents as JSON, with pages, fonts, links and warnings."""
+    docs = table(spark, sf_dir, "documents")
+    g = P.document_glyphs(docs)
+    pages = export.page_json(layout.words(g), 792.0)
+    fonts = structure.font_inventory(g.select("doc_id", F.col("font").alias("name"), F.lit("TrueType").alias("subtype"), F.lit(False).alias("embedded"), "page_no", "seq"))
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("from_page"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("ordinal", "uri"), F.lit(None).cast("int").alias("to_page"))
+    return export.document_json(pages, fonts, p, q_warnings(spark, sf_dir))

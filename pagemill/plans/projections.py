@@ -81,3 +81,35 @@ def ship_intervals(lineitem: DataFrame) -> DataFrame:
 
 SHIP_SQL = """(SELECT l_suppkey AS grp, l_orderkey * 10 + l_linenumber AS seq, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS lo,
  date_diff('day', DATE '1990-01-01', l_shipdate::DATE) + l_quantity::BIGINT AS hi FROM lineitem)"""
+
+
+def _pdf(lines: list[str]) -> bytes:
+    """A file with forty lines a page, set by a simple font in compressed content."""
+    import zlib
+
+    pages = [lines[i : i + PAGE_LINES] for i in range(0, len(lines), PAGE_LINES)]
+    kids = " ".join(f"{4 + 2 * i} 0 R" for i in range(len(pages)))
+    widths = " ".join(["500"] * 224)
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} /MediaBox [0 0 612 792] /Resources << /Font << /F1 3 0 R >> >> >>".encode(), f"<< /Type /Font /Subtype /TrueType /BaseFont /Body /Encoding /WinAnsiEncoding /FirstChar 32 /Widths [{widths}] >>".encode()]
+    for i, page in enumerate(pages):
+        runs = [b"(" + line.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r") + b")" for line in page]
+        body = zlib.compress(b"BT /F1 12 Tf 18 TL 72 760 Td " + b" Tj ".join(runs[:1]) + b" Tj " + b"".join(r + b" ' " for r in runs[1:]) + b"ET", 1)
+        objects += [f"<< /Type /Page /Parent 2 0 R /Contents {5 + 2 * i} 0 R >>".encode(), f"<< /Length {len(body)} /Filter /FlateDecode >>\nstream\n".encode() + body + b"\nendstream"]
+    out, at = bytearray(b"%PDF-1.4\n"), []
+    for n, o in enumerate(objects, 1):
+        at.append(len(out))
+        out += f"{n} 0 obj\n".encode() + o + b"\nendobj\n"
+    start = len(out)
+    out += f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n".encode() + b"".join(f"{a:010d} 00000 n \n".encode() for a in at)
+    return bytes(out + f"trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{start}\n%%EOF\n".encode())
+
+
+def document_files(docs: DataFrame) -> DataFrame:
+    """(path, content): each document as a PDF file."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column("path"), pa.array([_pdf(t.split("\n")) for t in batch.column("text").to_pylist()], pa.binary())], ["path", "content"])
+
+    return docs.select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "path string, content binary")

@@ -60,8 +60,8 @@ class Page:
 
 
 class Interpreter:
-    def __init__(self, doc: Document, out: Page):
-        self.doc, self.out = doc, out
+    def __init__(self, doc: Document, out: Page, geometry: bool = True):
+        self.doc, self.out, self.geometry = doc, out, geometry
         self.state, self.stack = State(), []
         self.tm = self.tlm = UNIT
         self.path: list[list[tuple[float, float]]] = []
@@ -74,25 +74,33 @@ class Interpreter:
     def show(self, data: bytes) -> None:
         s = self.state
         font = s.font or fonts.Font(source="fallback")
-        run = font.decode(data)
-        self.out.shown.append(("".join(t for _, t, _ in run), self.tm[4], self.tm[5]))
-        for code, text, kind in run:
-            trm = times(times((s.size * s.scale, 0, 0, s.size, 0, s.rise), self.tm), s.ctm)
-            w0 = font.width(code)
-            size = trm[0]
+        run = font.run(data)
+        text = "".join([g[1] for g in run])
+        self.plain.append(text)
+        if not self.geometry:
+            return
+        self.out.shown.append((text, self.tm[4], self.tm[5]))
+        m = times(self.tm, s.ctm)
+        size, _, c, d, x, y = times((s.size * s.scale, 0, 0, s.size, 0, s.rise), m)
+        height, turn = math.hypot(c, d), math.degrees(math.atan2(_, size))
+        # along a run only the place changes: by the advances so far, in the direction of writing
+        dx, dy = (m[2], m[3]) if font.vertical else (m[0], m[1])
+        far, add, name = 0.0, self.out.glyphs.append, font.name
+        for code, t, kind, w in run:
+            add((t, name, size, x + far * dx, y + far * dy, w / 1000 * size, height, turn, kind))
             if font.vertical:
-                tx, ty = 0.0, -s.size + s.char
+                far += s.char - s.size
             else:
-                tx, ty = (w0 / 1000 * s.size + s.char + (s.word if code == b" " else 0.0)) * s.scale, 0.0
-            self.out.glyphs.append((text, font.name, size, trm[4], trm[5], w0 / 1000 * size, math.hypot(trm[2], trm[3]), math.degrees(math.atan2(trm[1], trm[0])), kind))
-            self.plain.append(text)
-            self.tm = times((1, 0, 0, 1, tx, ty), self.tm)
+                far += (w / 1000 * s.size + s.char + (s.word if code == b" " else 0.0)) * s.scale
+        self.tm = times((1, 0, 0, 1, 0, far) if font.vertical else (1, 0, 0, 1, far, 0), self.tm)
 
     def separator(self, text: str) -> None:
         s = self.state
+        self.plain.append(text)
+        if not self.geometry:
+            return
         trm = times(times((s.size * s.scale, 0, 0, s.size, 0, s.rise), self.tm), s.ctm)
         self.out.glyphs.append((text, s.font.name if s.font else "", trm[0], trm[4], trm[5], 0.0, math.hypot(trm[2], trm[3]), math.degrees(math.atan2(trm[1], trm[0])), "separator"))
-        self.plain.append(text)
 
     def show_array(self, items: list) -> None:
         for x in items:
@@ -265,10 +273,13 @@ _SETS = {"Tc": ("char", 1.0), "Tw": ("word", 1.0), "Tz": ("scale", 0.01), "TL":
 _PAINTS = {"S": True, "s": True, "B": True, "B*": True, "b": True, "b*": True, "f": False, "F": False, "f*": False, "n": False}
 
 
-def read_page(doc: Document, page: dict) -> Page:
-    """All that a page draws. A malformed operator ends its text with an error; what came before is kept."""
+def read_page(doc: Document, page: dict, geometry: bool = True) -> Page:
+    """All that a page draws. A malformed operator ends its text with an error; what came before is kept.
+
+    Without ``geometry`` glyphs are not placed, which is enough for the text.
+    """
     out = Page()
-    run = Interpreter(doc, out)
+    run = Interpreter(doc, out, geometry)
     media, turn = box(doc, page, "MediaBox"), rotation(doc, page)
     run.state.ctm = page_matrix(turn, media)
     body = doc.resolve(page.get("Contents"))

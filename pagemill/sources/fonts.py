@@ -24,6 +24,7 @@ class Font:
     widths: dict[int, float] = field(default_factory=dict)
     default: float = 0.0
     warnings: list[tuple[str, str, str]] = field(default_factory=list)
+    singles: list[tuple[bytes, str, str, float]] = field(default_factory=list)
 
     def decode(self, data: bytes) -> list[tuple[bytes, str, str]]:
         """(code, text, source) of each glyph of a run."""
@@ -48,6 +49,15 @@ class Font:
         table = self.table or E.PDFDOC
         return [(bytes([b]), table[b], self.source) for b in data]
 
+    def run(self, data: bytes) -> list[tuple[bytes, str, str, float]]:
+        """(code, text, source, width) of each glyph of a run; a font of single bytes looks each up once."""
+        if self.composite or self.charset:
+            return [(c, t, k, self.width(c)) for c, t, k in self.decode(data)]
+        if not self.singles:
+            every = [self.decode(bytes([b])) for b in range(256)]
+            self.singles = [(*g[0], self.width(g[0][0])) for g in every]
+        return [self.singles[b] for b in data]
+
     def width(self, code: bytes) -> float:
         """A code's advance in thousandths of the size."""
         return self.widths.get(int.from_bytes(code, "big"), self.default)

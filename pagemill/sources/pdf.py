@@ -60,7 +60,7 @@ def rows(data: bytes, passwords: tuple[str, ...] = (), wanted: frozenset[str] =
             warned.add((n, "null_page", "a page slot is empty", ""))
             continue
         if deep:
-            p = read_page(doc, page)
+            p = read_page(doc, page, geometry=bool(wanted & {"glyph", "show_string", "warning"}))
             yield "page", n, box(doc, page, "MediaBox"), box(doc, page, "CropBox"), rotation(doc, page), False, p.text, p.error, len(p.images)
             for kind, found in (("glyph", p.glyphs), ("rect", p.rects), ("stroke", p.strokes), ("image_draw", p.images), ("show_string", p.shown)):
                 if kind in wanted:
