@@ -91,7 +91,8 @@ def _learner(weight: dict[int, float], rounds: int):
 def learn(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int = PER_CLASS, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """(places, weights) other than 0, the bias last; from at most ``per_class`` documents of each label that meet ``train``."""
     texts, weight = sample(docs, labels, label, train, per_class)
-    got = texts.coalesce(1).mapInArrow(_learner(weight, rounds), "place int, weight double").toPandas()
+    # the bounded sample goes to one task; the scan that finds it stays spread
+    got = texts.repartition(1).mapInArrow(_learner(weight, rounds), "place int, weight double").toPandas()
     if not len(got):
         return np.array([SIZE], np.int32), np.zeros(1)
     return got["place"].to_numpy(), got["weight"].to_numpy()
