@@ -62,7 +62,7 @@ class Word:
         return self.x + self.w
 
 
-def words(band: np.ndarray, s, x, y, w, h, font, size) -> list[Word]:
+def words(band: list[int], s, x, y, w, h, font, size) -> list[Word]:
     """A band's words: white space ends one, and so does a gap beyond 0.3 of the next glyph's width and 0.15 of its size."""
     out: list[Word] = []
     fresh = True
@@ -190,7 +190,9 @@ def place(found: list[Line], at: list[float], gap: float) -> None:
 def page_lines(s, x, y, w, h, font, size) -> list[Line]:
     """All lines of a page, in band order, with their columns and blocks."""
     x, y, w, h, size = (np.asarray(v, float) for v in (x, y, w, h, size))
-    rows = [r for r in (words(b, s, x.tolist(), y.tolist(), w.tolist(), h.tolist(), font, size.tolist()) for b in bands(x, y, size)) if r]
+    found = bands(x, y, size)
+    columns = s, x.tolist(), y.tolist(), w.tolist(), h.tolist(), font, size.tolist()
+    rows = [r for r in (words(b.tolist(), *columns) for b in found) if r]
     at, gap = gutters(rows)
     out = lines(rows, at, gap)
     place(out, at, gap)
