@@ -11,6 +11,8 @@ from pagemill.llm.storage import Stash
 BITS, LEVEL, LEVELS = 60, 12, 3
 #: No document is taken more often than this.
 REPEATS = 3
+#: The table of sources goes to every task if it has at most so many rows; a larger one is joined by shuffling.
+SOURCES = 100_000
 
 
 def _size(text: str = "text") -> Column:
@@ -45,25 +47,27 @@ def _targets(sizes: DataFrame, weights: dict[str | None, float] | None) -> DataF
     return s.select("source", "source_size", F.when(F.col("w") == 0, F.lit(0.0)).when(F.col("n") < F.coalesce(F.col("open.n"), F.col("n") + 1), F.col("most")).otherwise(F.col("open.level") * F.col("w")).alias("target"))
 
 
-def thresholds(sized: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
-    """(source, source_size, target, whole, below) of sized rows (source, size, place).
+def thresholds(sized: DataFrame, stash: Stash, weights: dict[str | None, float] | None = None) -> DataFrame:
+    """(of, source_size, target, whole, below) of sized rows (source, size, place), hinted for joining with rows by source.
 
     Each document is taken ``whole`` times, and once more if its place is under ``below``. Each
     level sums sizes by source and bucket of places, keeps the bucket in which the budget ends, and
     looks into that bucket alone at the next level; in the last one the nearer end is taken.
     """
-    plan = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
+    plan = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights).withColumnRenamed("source", "of")
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif("source_size", F.lit(0)))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("budget", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")).withColumn("below", F.lit(0).cast("long"))
+    plan = stash.put("plan", plan.withColumn("budget", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")).withColumn("below", F.lit(0).cast("long")))
+    small = plan.count() <= SOURCES
+    hinted = lambda p: F.broadcast(p) if small else p
     width = BITS
     for level in range(LEVELS):
         width -= LEVEL
-        p = plan.select(F.col("source").alias("of"), "below", "budget")
-        inside = sized.where("size > 0").join(p, F.col("source").eqNullSafe(F.col("of"))).where((F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + F.lit(1 << (width + LEVEL))))
-        hist = inside.groupBy("of", "budget", "below", F.shiftright(F.col("place") - F.col("below"), width).alias("bucket")).agg(F.sum("size").alias("words"))
+        p = plan.select("of", "below", "budget")
+        inside = sized.where("size > 0").join(hinted(p), F.col("source").eqNullSafe(F.col("of"))).where((F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + F.lit(1 << (width + LEVEL))))
+        hist = inside.groupBy("of", "budget", F.shiftright(F.col("place") - F.col("below"), width).alias("bucket")).agg(F.sum("size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("of").orderBy("bucket"))
-        edge = hist.withColumn("upto", upto).where(F.col("upto") > F.col("budget")).groupBy("of").agg(F.min(F.struct("bucket", "upto", "words")).alias("e"))
-        plan = plan.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        edge = hist.withColumn("upto", upto).where(F.col("upto") > F.col("budget")).groupBy(F.col("of").alias("edge_of")).agg(F.min(F.struct("bucket", "upto", "words")).alias("e"))
+        plan = plan.join(edge, F.col("of").eqNullSafe(F.col("edge_of")), "left").drop("edge_of")
         before = (F.col("e.upto") - F.col("e.words")).cast("double")
         start = F.col("below") + F.coalesce(F.shiftleft(F.col("e.bucket"), width), F.lit(0))
         if not level:  # rounding may leave a budget of all there is
@@ -71,8 +75,8 @@ def thresholds(sized: DataFrame, weights: dict[str | None, float] | None = None)
         if level == LEVELS - 1:
             near = (F.col("budget") - before) * 2 >= F.col("e.words")
             start = start + F.when(F.coalesce(near, F.lit(False)), F.lit(1 << width)).otherwise(F.lit(0))
-        plan = plan.withColumns({"below": start.cast("long"), "budget": F.col("budget") - F.coalesce(before, F.lit(0.0))}).drop("e")
-    return plan.select("source", "source_size", "target", "whole", "below")
+        plan = stash.put("plan", plan.withColumns({"below": start.cast("long"), "budget": F.col("budget") - F.coalesce(before, F.lit(0.0))}).drop("e"))
+    return hinted(plan.select("of", "source_size", "target", "whole", "below"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
@@ -88,7 +92,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None) -> Data
     """
     stash = Stash(docs.sparkSession, "mix")
     sized = stash.put("sized", docs.select("source", _size().alias("size"), _place().alias("place")))
-    plan = stash.put("plan", thresholds(sized, weights)).withColumnRenamed("source", "of")
+    plan = thresholds(sized, stash, weights)
     stash.drop("sized")
     made = ["size", "source_size", "target", "copies", "taken"]
     keep = [c for c in docs.columns if c not in made]
