@@ -173,12 +173,14 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10) -
     asked = rows.where("vec_id % 100 = 0") if queries is None else stash.put("asked", _usable(queries))
     count = lambda df, most, name: df.groupBy("dim").agg(F.ceil(F.count("*") / most).alias(name))
     parts = count(rows, SHARD, "parts")
+    # a partition for each shard: building a graph takes long beside the bytes that it reads
+    tasks = max(1, int(parts.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]))
     dealt = rows.join(parts, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), "parts"))
-    index = dealt.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInArrow(_index, "dim int, shard long, start int, vectors binary, ids binary, first binary, graph binary")
+    index = dealt.select("dim", "shard", "vec_id", "v").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(_index, "dim int, shard long, start int, vectors binary, ids binary, first binary, graph binary")
     index = stash.put("index", index)
     asked = asked.join(count(asked, QUERIES, "blocks"), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), "blocks"))
     blocks = asked.select("dim", "block", "vec_id", "v").groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, q_ids binary, q_vectors binary")
     blocks = stash.put("blocks", blocks).join(parts, "dim").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("shard")).drop("parts")
-    met = index.join(blocks, ["dim", "shard"]).groupBy("dim", "shard", "block").applyInArrow(_search(k), "query_id long, q binary, vec_id long, score double")
+    met = index.join(blocks, ["dim", "shard"]).repartition(tasks, "dim", "shard").groupBy("dim", "shard", "block").applyInArrow(_search(k), "query_id long, q binary, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("score", "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
