@@ -35,7 +35,8 @@ KINDS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{3,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<![\d+])\+\d{9,15}(?!\d)",
     "name": rf"\b(?:{_TITLE})\.? (?:{_NAME} )?{_NAME}",
 }
-PATTERN = "|".join(KINDS.values())
+#: Within a word no kind begins but at a digit, a plus or a parenthesis: most places fail on this alone.
+PATTERN = rf"(?:(?<![A-Za-z])|(?=[\d+(]))(?:{'|'.join(KINDS.values())})"
 #: Attempts at a surrogate of its own before the rounds are given up.
 ROUNDS = 40
 
