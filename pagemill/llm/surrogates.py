@@ -37,7 +37,8 @@ KINDS = {
 }
 #: Within a word no kind begins but at a digit, a plus or a parenthesis: most places fail on this alone.
 PATTERN = rf"(?:(?<![A-Za-z])|(?=[\d+(]))(?:{'|'.join(KINDS.values())})"
-#: Attempts at a surrogate of its own before the rounds are given up.
+#: Rounds in a row that settle no entity, after which a format counts as full: numbers keep their lengths, so more than
+#: half of all numbers of a format can't be replaced by others of it.
 ROUNDS = 40
 
 
@@ -74,14 +75,18 @@ def _stream(key: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), "role", "value", F.col("attempt").cast("string")), 512)
 
 
-def _same_classes(value: Column, h: Column) -> Column:
-    """Another string with a digit for each digit and a letter of its case for each letter."""
+def _same_classes(value: Column, h: Column, free: Column) -> Column:
+    """Another string with a digit for each digit and a letter of its case for each letter.
+
+    Where ``free`` holds, or no character is a letter or digit, any character becomes a small letter or a digit.
+    """
+    free = free | ~value.rlike("[0-9A-Za-z]")
 
     def char(i: Column) -> Column:
         c = F.substring(value, i, F.lit(1))
         x = F.conv(F.substring(h, (i * 2) % 126 + 1, F.lit(2)), 16, 10).cast("int")
         pick = lambda pool: F.substring(F.lit(pool), (x % len(pool)) + 1, F.lit(1))
-        return F.when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
+        return F.when(free, pick("abcdefghijklmnopqrstuvwxyz0123456789")).when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), char), "")
 
@@ -103,36 +108,39 @@ def _luhn(body: Column) -> Column:
 
 
 def _surrogate(key: str) -> Column:
-    """The surrogate of (role, value) at (attempt)."""
-    h, v, n = _stream(key), F.col("value"), F.length("value")
+    """The surrogate of (role, value) at (attempt). Later attempts choose from more surrogates, so that every entity settles."""
+    h, v, n, attempt = _stream(key), F.col("value"), F.length("value"), F.col("attempt")
     octet = lambda i: (F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int") % 254 + 1).cast("string")
     local, domain = F.substring_index(v, "@", 1), F.element_at(F.array(*(F.lit(f"mail{i}.example.{d}") for i in range(8) for d in ("org", "net"))), F.conv(F.substring(h, 127, 2), 16, 10).cast("int") % 16 + 1)
+    numbered = F.concat(F.lit("mail"), F.conv(F.substring(h, F.lit(115), F.when(attempt < 6, 4).otherwise(12)), 16, 10), F.lit(".example.org"))
     phone = F.concat(F.substring(v, F.lit(1), F.greatest(n - 10, F.lit(0))), F.lit("2"), _number(F.least(n, F.lit(10)) - 1, h))
-    out = F.when(F.col("role") == "email", F.concat(_same_classes(local, h), F.lit("@"), domain))
-    out = out.when(F.col("role") == "ip", F.concat_ws(".", F.lit("10"), octet(0), octet(1), octet(2)))
+    out = F.when(F.col("role") == "email", F.concat(_same_classes(local, h, F.lit(False)), F.lit("@"), F.when(attempt < 3, domain).otherwise(numbered)))
+    out = out.when(F.col("role") == "ip", F.concat_ws(".", F.when(attempt < 6, "10").otherwise(octet(3)), octet(0), octet(1), octet(2)))
     out = out.when(F.col("role") == "card", _luhn(F.concat(F.substring(v, 1, 1), _number(n - 2, h))))
-    out = out.when(F.col("role") == "phone", phone).when(F.col("role") == "ssn", F.concat(F.lit("9"), _number(F.lit(8), h)))
-    out = out.when(F.col("role") == "key", F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16)))).when(F.col("role") == "secret", F.when(v.rlike("^[0-9a-f]{8,128}$"), F.substring(h, F.lit(1), n)).otherwise(_same_classes(v, h)))
+    out = out.when(F.col("role") == "phone", F.when(attempt < 6, phone).otherwise(_number(n, h)))
+    out = out.when(F.col("role") == "ssn", F.when(attempt < 6, F.concat(F.lit("9"), _number(F.lit(8), h))).otherwise(_number(F.lit(9), h)))
+    out = out.when(F.col("role") == "key", F.concat(F.lit("AKIA"), F.upper(F.substring(h, 1, 16)))).when(F.col("role") == "secret", F.when(v.rlike("^[0-9a-f]{8,128}$"), F.substring(h, F.lit(1), n)).otherwise(_same_classes(v, h, attempt >= 3)))
     script = F.when(v.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    for (role, of), pool in NAMES.items():
-        names = F.array(*map(F.lit, pool.split()))
-        pick = lambda a: F.element_at(names, F.conv(F.substring(h, a, 7), 16, 10).cast("int") % len(pool.split()) + 1)  # noqa: B023, E731
-        # one name, then two joined, then more, as long as it takes to be distinct
-        more = F.when(F.col("attempt") == 0, pick(1)).when(F.col("attempt") < 6, F.concat_ws("-", pick(1), pick(9))).when(F.col("attempt") < 12, F.concat_ws("-", pick(1), pick(9), pick(17))).otherwise(F.concat_ws("-", pick(1), pick(9), pick(17), pick(25), pick(33), pick(41)))
-        out = out.when((F.col("role") == role) & (script == of), more)
-    return out
+    pool = F.lit(None).cast("array<string>")
+    for (role, of), names in NAMES.items():
+        pool = F.when((F.col("role") == role) & (script == of), F.array(*map(F.lit, names.split()))).otherwise(pool)
+    # one name, then two joined, then more, as long as it takes to be distinct
+    count = F.when(attempt == 0, 1).when(attempt < 6, 2).when(attempt < 12, 3).when(attempt < 18, 6).otherwise(16)
+    pick = lambda i: F.element_at(pool, F.conv(F.substring(h, i * 8 + 1, F.lit(7)), 16, 10).cast("int") % F.size(pool) + 1)
+    return out.otherwise(F.array_join(F.transform(F.sequence(F.lit(0), count - 1), pick), "-"))
 
 
 def surrogates(entities: DataFrame, key: str, stash: Stash) -> DataFrame:
     """(role, value, surrogate) of distinct entities (role, value): no two of a role share one, and none is another's value.
 
     In each round the entities whose surrogate collides try the next one; of those that share one,
-    the entity with the fewest attempts, then the least value, keeps it.
+    the entity with the fewest attempts, then the least value, keeps it. The rounds go on until every entity has its own.
     """
     made = _surrogate(key)
     now = stash.put("try", entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", made))
     shape = F.lower("surrogate")
-    for _ in range(ROUNDS):
+    before, idle = -1, 0
+    while idle < ROUNDS:
         owner = now.groupBy("role", shape.alias("s")).agg(F.min(F.struct("attempt", "value")).alias("o"), F.count("*").alias("n")).where("n > 1").select(F.col("role").alias("r1"), "s", F.col("o.value").alias("owner"))
         real = now.select(F.col("role").alias("r2"), F.lower("value").alias("v2")).distinct()
         lost = now.join(owner, (F.col("role") == F.col("r1")) & (shape == F.col("s")), "left").join(real, (F.col("role") == F.col("r2")) & (shape == F.col("v2")), "left")
@@ -144,7 +152,8 @@ def surrogates(entities: DataFrame, key: str, stash: Stash) -> DataFrame:
         now = new.drop("bad")
         if not left:
             return now.select("role", "value", "surrogate")
-    raise RuntimeError("surrogates still collide")
+        before, idle = left, idle + 1 if left == before else 0
+    raise RuntimeError(f"{left} entities have formats that are full")
 
 
 def _filled(m: Column, digits: Column) -> Column:

@@ -498,3 +498,12 @@ def test_surrogates_stay_distinct(spark):
     got = {r.doc_id: r.text for r in surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     assert len(set(got.values())) == len(rows)
     assert not {t for t in got.values()} & {t for _, t in rows}
+
+
+def test_surrogates_where_few_are_of_the_same_form(spark):
+    """Secrets without letters or digits, and far more e-mail addresses of one letter than letters times domains."""
+    rows = [(0, "password: ________"), (1, "token=--------"), (2, 'secret = "_-_-_-_-_-"')] + [(10 + i, f"a@d{i}.org") for i in range(1000)]
+    got = {r.doc_id: r.text for r in surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert re.fullmatch("password: [a-z0-9]{8}", got[0]) and re.fullmatch("token=[a-z0-9]{8}", got[1]) and re.fullmatch('secret = "[a-z0-9]{10}"', got[2])
+    mails = [t for i, t in got.items() if i >= 10]
+    assert len(set(mails)) == 1000 and all(re.fullmatch(r"[a-z]@mail\d+\.example\.(org|net)", t) for t in mails) and not {*mails} & {t for _, t in rows}
