@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pagemill.llm import kernels as K
 
 #: Words of a shingle; share of an item's shingles that a document must hold.
 WORDS, SHARE = 5, 0.8
+#: Items of fewer shingles have to be held whole at that share, so a lookup of any one shingle finds them all.
+FEW = 5
 #: Chance that the search misses a passage at the threshold.
 MISS = 1e-4
 #: Items go out with the tasks in blocks of at most about so many bytes of text.
@@ -51,9 +54,20 @@ class Index:
         s = K.seeds64(m, 41)
         self.a, self.c = ((s & _U(0xFFFFFFFF)).astype(_W) | _W(1)), ((s >> _U(32)).astype(_W) | _W(1))
         self.parts: dict[int, dict[int, list]] = {}
+        few: dict[int, list] = {}
         for i, x in enumerate(self.sets):
-            w = max(8, 1 << (len(x) - 1).bit_length())
-            self.parts.setdefault(self.k[i], {}).setdefault(w, []).append(i)
+            part = self.parts.setdefault(self.k[i], {})
+            if len(x) < FEW:
+                few.setdefault(self.k[i], []).append(i)
+            else:
+                part.setdefault(1 << (len(x) - 1).bit_length(), []).append(i)
+        self.few = {}
+        for k, of in few.items():
+            of.sort(key=lambda i: int(self.sets[i][0]))
+            keys = np.array([self.sets[i][0] for i in of], _U)
+            seen = np.zeros(1 << 16, bool)
+            seen[keys >> _U(48)] = True
+            self.few[k] = keys, seen, of
         self.tables = {}
         for k, by_width in self.parts.items():
             for w, of in by_width.items():
@@ -67,10 +81,20 @@ class Index:
         return (x & _U(0xFFFFFFFF)).astype(_W) * self.a[f] + (x >> _U(32)).astype(_W) * self.c[f]
 
     def candidates(self, x: np.ndarray, first: np.ndarray, k: int) -> set[tuple[int, int]]:
-        """(row, item) whose windows and sets share a least value of any function."""
+        """(row, item) whose windows and sets share a least value of any function; items of FEW shingles by one of them."""
         found: set[tuple[int, int]] = set()
         if not len(x):
             return found
+        if k in self.few:
+            keys, some, of = self.few[k]
+            maybe = np.flatnonzero(some[x >> _U(48)])
+            left = np.searchsorted(keys, x[maybe])
+            hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == x[maybe])
+            rows = np.searchsorted(first, maybe[hit], "right") - 1
+            for row, at in {*zip(rows.tolist(), left[hit].tolist(), strict=True)}:
+                found.update((row, of[j]) for j in range(at, int(np.searchsorted(keys, keys[at], "right"))))
+        if not self.parts[k]:
+            return found
         lo, hi = (x & _U(0xFFFFFFFF)).astype(_W), (x >> _U(32)).astype(_W)
         layout = {}
         for w in self.parts[k]:
@@ -99,12 +123,11 @@ class Index:
             for k in self.parts:
                 n = np.diff(first)
                 x, at = K.shingles(h, first, k)
-                got = self.candidates(x, at, k)
-                for row in sorted({r for r, _ in got}):
+                for row, items in groupby(sorted(self.candidates(x, at, k)), lambda g: g[0]):
                     if n[row] < k:
                         continue
                     own = np.unique(x[at[row] : at[row + 1]])
-                    for item in sorted(t for r, t in got if r == row):
+                    for _, item in items:
                         q = self.sets[item]
                         near = np.searchsorted(own, q)
                         near[near == len(own)] = 0
@@ -133,6 +156,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     holds an item if at least 0.8 of the item's set is in the document's, which an exact count
     over the whole document decides. Items are partitioned by size into powers of two; each
     partition is searched in windows of twice that size, so that a short item stands out in a document of any length.
+    Items of fewer than FEW shingles are looked up exactly.
 
     Items without words match nothing, nor do null or empty texts. Rows that repeat are searched
     each; items that repeat count once. Empty tables give an empty result; only doc_id, text and

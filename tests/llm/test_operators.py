@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import decontam, labelled, license_scan, mixing, near_dup, neighbours, passages, quality, queries, sketch, surrogates, token_files, toxicity
@@ -200,6 +201,18 @@ def test_contamination_against_brute_force(spark):
     assert clean == {i for i, _ in rows} - {d for d, *_ in got}
 
 
+def test_short_items_are_found_wherever_they_stand():
+    """Thousands of placements of items of 1 to 8 words, and shingles of one item that stand apart."""
+    rng = random.Random(21)
+    items = [(i, prose(rng, 1 + i % 8, 10**9)) for i in range(400)] + [(400, "aa bb cc dd ee ff"), (401, "w7"), (402, "W7")]
+    index = decontam.Index(items)
+    texts = [prose(rng, rng.randrange(0, 60), 10**9) + " " + items[r % 400][1] + " " + prose(rng, rng.randrange(0, 60), 10**9) for r in range(6000)]
+    texts += ["aa bb cc dd ee x y z " + prose(rng, 90, 10**9) + " bb cc dd ee ff", "aa bb cc dd ee x", "a w7 b", ""]
+    raw, off = K.spans(pa.array(texts))
+    got = {(r, i) for r, i, _, _ in index.matches(raw, off)}
+    assert got == {(r, r % 400) for r in range(6000)} | {(6000, 400), (6002, 401), (6002, 402)}
+
+
 def test_contamination_in_blocks_of_items_and_on_awkward_rows(spark, odd, none, monkeypatch):
     items = spark.createDataFrame([(1, "one two"), (2, awkward()[5][1]), (3, "nothing of the kind stands anywhere")], "item_id long, text string")
     whole = {tuple(r) for r in decontam.contaminated(odd, items).collect()}
