@@ -451,6 +451,22 @@ def test_classifiers_on_awkward_rows(spark, odd, none, score, label):
     assert all(0 <= r.score <= 1 for r in score(odd, labels.limit(0)).collect()) and score(none, labels).count() == 0
 
 
+def test_a_very_long_document_displaces_no_other(spark):
+    rng = random.Random(31)
+    rows = [(i, " ".join(f"{'gx'[i % 2]}{rng.randrange(3000):04d}" for _ in range(rng.randrange(150, 400)))) for i in range(400)]
+    first = min(range(0, 400, 2), key=lambda i: int(K.mix64(np.array([i], np.int64).view(np.uint64))[0]))
+    rows[first] = (first, " ".join(f"z{rng.randrange(10**6)}" for _ in range(900_000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.score for r in quality.score_quality(df, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")).collect()}
+    assert sum((got[i] >= 0.5) == (i % 2 == 1) for i in got if i != first) >= 395
+    model = quality.learn(df, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int"))
+    assert re.search(rb"g\d{4} g\d{4}", model.bad) and re.search(rb"x\d{4} x\d{4}", model.good)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (10, 5000, 40_000, 200_000)]
+    share = quality._even_share([len(t) for t in texts], 60_000)
+    drawn = [quality._drawn(t, share) for t in texts]
+    assert b"".join(drawn[0]) == texts[0] and b"".join(drawn[1]) == texts[1] and 25_000 < sum(len(b) for d in drawn for b in d) <= 60_000
+
+
 def test_training_folds_are_apart(spark, sf):
     ids = spark.range(50).withColumnRenamed("id", "doc_id")
     for r in ids.select("doc_id", labelled.fold(5).alias("f"), labelled.fold(3).alias("g")).collect():
