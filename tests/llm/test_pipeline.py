@@ -12,7 +12,7 @@ import corpus_pipeline
 from pagemill.llm import queries
 from pagemill.llm.labelled import fold
 from pagemill.llm.quality import learn
-from tests.llm.test_operators import brute_classes, brute_contained, library, water_fill, words
+from tests.llm.test_corpus_operators import brute_classes, brute_contained, library, water_fill, words
 
 
 def size(t):
