@@ -60,10 +60,11 @@ class Encoder:
     Byte-level BPE merges never cross pre-tokens. Where the file's pre-tokenizer is the byte-level
     one and a text has only characters below U+0250 without apostrophes, its pre-tokens are found
     with numpy and their ids looked up in a bounded table that the library fills; any other text,
-    and any other kind of tokenizer, goes through the library as a whole.
+    and any other kind of tokenizer, goes through the library as a whole. Pre-tokens are looked up
+    PORTION at a time, so that however many distinct ones a text has, the table has free places.
     """
 
-    BITS, FULL, STORE = 20, 600_000, 8_000_000
+    BITS, FULL, STORE, PORTION = 20, 600_000, 8_000_000, 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -168,6 +169,13 @@ class Encoder:
             np.cumsum(_CODE[code] * up[:n], out=acc[1:])
             h = mix64((acc[e] - acc[s]) * down[s] + (e - s).astype(_U))
         h[h == 0] = 1
+        parts = [self._looked_up(joined, h[i : i + self.PORTION], s[i : i + self.PORTION], e[i : i + self.PORTION]) for i in range(0, len(s), self.PORTION)]
+        total = np.zeros(len(s) + 1, np.int64)
+        np.cumsum(np.concatenate([n for _, n in parts]), out=total[1:])
+        return np.concatenate([ids for ids, _ in parts]), np.diff(total[np.searchsorted(s, off)])
+
+    def _looked_up(self, joined: str, h: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens joined[s:e], whose hashes are h, and how many each has."""
         slot = self._find(h)
         if (slot < 0).any():
             if self.count > self.FULL or self.used > self.STORE:
@@ -179,10 +187,8 @@ class Encoder:
             self._insert(new, [x.ids for x in self.lib.encode_batch_fast(pieces, add_special_tokens=False)])
             slot = self._find(h)
         each, at = self.n[slot].astype(np.int64), self.at[slot].astype(np.int64)
-        total = np.zeros(len(each) + 1, np.int64)
-        np.cumsum(each, out=total[1:])
-        ids = self.store[np.repeat(at - total[:-1], each) + np.arange(total[-1])]
-        return ids, np.diff(total[np.searchsorted(s, off)])
+        total = np.cumsum(each) - each
+        return self.store[np.repeat(at - total, each) + np.arange(int(each.sum()))], each
 
 
 _encoders: dict[str, Encoder] = {}
@@ -259,7 +265,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, length: int):
         for batch in batches:
             raw, off = spans(batch.column("text"))
             for i, j in slices(off):
-                texts = [raw[a:b].tobytes().decode() for a, b in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist(), strict=True)]
+                texts = [raw[a:b].tobytes().decode(errors="replace") for a, b in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist(), strict=True)]
                 ids, n = enc.encode(texts)
                 ids = np.insert(ids, np.cumsum(n), end_id).astype(enc.dtype, copy=False)
                 shard = shard or _Shard(folder, number, enc.dtype, length, _DOCS)
@@ -277,8 +283,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     Returns the folder (a new one in the cluster's shared folder unless given) and the manifest
     (shard, docs, tokens, sequences, start): start is the ids of all shards before it. A null text
     is empty, null doc_ids come first, and rows that share a doc_id are ordered by their texts'
-    hash and text. Other columns are not read; an empty table writes no shard. A task that runs
-    again writes the same files again.
+    hash and text. Bytes that are not UTF-8 are read as U+FFFD. Other columns are not read; an
+    empty table writes no shard. A task that runs again writes the same files again.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")

@@ -244,6 +244,21 @@ def test_encoder_agrees_with_the_library():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == library(texts[::-1])
 
 
+def test_encoder_takes_more_distinct_words_than_its_table_has_places():
+    text = " ".join(f"q{i:x}" for i in range(1_200_000))
+    enc = token_files.Encoder(queries.tokenizer_path())
+    ids, n = enc.encode(["a b", text, text[:90]])
+    true = library(["a b", text, text[:90]])
+    assert n.tolist() == [len(x) for x in true] and (ids == np.concatenate([np.array(x, ids.dtype) for x in true])).all()
+
+
+def test_token_files_of_texts_that_are_not_utf8(spark):
+    df = spark.sql("select 1L as doc_id, cast(x'61ff62' as string) as text")
+    folder, manifest = token_files.write_tokens(df, queries.tokenizer_path())
+    got = token_files.read_documents(folder, manifest).collect()
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array([*library(["a\ufffdb"])[0], 0], "<u4").tobytes())]
+
+
 def test_token_files_round_trip(spark, odd, none):
     folder, manifest = token_files.write_tokens(odd, queries.tokenizer_path(), length=64)
     got = sorted(token_files.read_documents(folder, manifest).collect(), key=lambda r: r.start)
