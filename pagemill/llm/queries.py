@@ -39,7 +39,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(_table(spark, sf_dir, "documents")).drop("told")
+    return repeated_passages(_table(spark, sf_dir, "documents")).drop("copied", "told")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

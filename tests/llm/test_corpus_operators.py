@@ -292,7 +292,7 @@ def test_boundaries_follow_the_recurrence_and_the_content():
         h, cand = 0, []
         for i in range(a, b):
             h = ((h << 1) + int(passages._TABLE[raw[i]])) & 0xFFFF
-            if h >> (16 - passages.BITS) == 0 and i + 1 < b:
+            if h >> passages.LOW & (1 << passages.BITS) - 1 == 0 and i + 1 < b:
                 cand.append(i + 1)
         for p, c in zip([None, *cand], cand):
             near = p is not None and c - p < passages.LEAST or c - a < passages.LEAST
@@ -322,6 +322,55 @@ def test_repeated_passages(spark, odd, none):
     whole = passages.repeated_passages(odd)
     assert {r.doc_id for r in whole.collect()} >= {5, 7, 8} and passages.without_repeats(odd, whole).count() == odd.count()
     assert passages.repeated_passages(none).count() == 0
+    clash = odd.withColumnsRenamed({"size": "cuts", "score": "of", "node": "doc", "root": "told"})
+    assert passages.without_repeats(clash, whole).columns == clash.columns
+    same = lambda rows: sorted((r.doc_id is not None, r.doc_id, r.text or "") if r.doc_id is not None else (False, 0, r.text or "") for r in rows)
+    assert same(passages.without_repeats(clash, whole).collect()) == same(passages.without_repeats(odd, whole).collect())
+
+
+def brute_passages(rows, least):
+    """Runs of chunks that several doc_ids hold, text by text."""
+    cut = lambda t: passages.boundaries(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])).tolist()
+    held, chunks = collections.defaultdict(set), {}
+    for d, t in rows:
+        raw, s = t.encode(), cut(t)
+        chunks[d] = list(zip(s, s[1:] + [len(raw)]))
+        for a, b in chunks[d]:
+            held[raw[a:b]].add(d)
+    out = set()
+    for d, t in rows:
+        raw, run = t.encode(), []
+        begins = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        for a, b in [*chunks[d], (None, None)]:
+            if a is not None and len(held[raw[a:b]]) > 1:
+                run.append((a, b))
+                continue
+            if run and (n := sum(run[0][0] <= x < run[-1][1] for x in begins)) >= least:
+                firsts = [min(held[raw[x:y]]) for x, y in run]
+                out.add((d, run[0][0], run[-1][1], n, len(run), min(firsts)))
+            run = []
+    return out
+
+
+def test_repeated_passages_against_brute_force(spark, monkeypatch):
+    """Random compositions of shared parts; every shared part has to survive the cutting in some document."""
+    monkeypatch.setattr(passages, "COMMON", 40)
+    rng = random.Random(17)
+    parts = [prose(rng, rng.randrange(50, 90), 10**6) for _ in range(8)] + ["la di da " * 40, "=-" * 200]
+    texts = [" ".join(rng.choice(parts) if rng.random() < 0.6 else prose(rng, rng.randrange(1, 40), 10**6) for _ in range(rng.randrange(0, 7))) for _ in range(60)]
+    texts[:3] = [parts[0], parts[0] + parts[1], parts[0] + parts[1]]
+    rows = [(i, t) for i, t in enumerate(texts) if t]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(df)
+    got = {(r.doc_id, r.start, r.end, r.n_words, r.n_chunks, r.first_doc_id) for r in found.collect()}
+    assert got == brute_passages(rows, passages.WORDS)
+    several = [p for p in parts[:8] if sum(p in t for t in texts) > 1]
+    flagged = {d for d, *_ in got}
+    assert all(i in flagged for p in several for i, t in rows if p in t)
+    left = [r.text for r in passages.without_repeats(df, found).collect()]
+    for p in several:  # a chunk at its edge may also end the text before it
+        assert any(p[24:-24] in t for t in left), p
+    assert sum(map(len, left)) < 0.6 * sum(map(len, texts))
 
 
 # 5
