@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import kernels as K
 from pagemill.llm import sketch as S
 from pagemill.llm.components import components
+from pagemill.llm.skew import join_counted
 from pagemill.llm.storage import Stash
 
 #: 32 bands of 6 registers find a pair of similarity 0.8 with a chance of 1 - (1 - 0.8 ** 6) ** 32 = 0.99994.
@@ -172,9 +173,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = prof.where("n_shingles > 0 and doc_id is not null")
     classes = stash.put("class", named.groupBy("node").agg(F.min(F.struct("doc_id", "told")).alias("of"), F.first("regs").alias("regs")).select("node", F.col("of.doc_id").alias("least"), F.col("of.told").alias("told"), "regs"))
     bands = stash.put("bands", classes.select("node", "regs").mapInArrow(_band_rows, "key long, node long"))
-    met = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    bands2 = stash.put("met", bands.join(met, "key"))
-    stash.drop("bands")
+    met = stash.put("shared", bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    bands2 = stash.put("met", join_counted(bands, met, "key", ["node"]))
+    stash.drop("bands", "shared")
     some = classes.join(bands2.select("node").distinct(), "node", "left_semi").withColumnRenamed("least", "doc_id")
     full = docs.where("doc_id is not null").join(some, ["doc_id", "told"]).mapInArrow(_full(k), "node long, regs binary, full binary")
     if not named.groupBy("doc_id", "told").count().where("count > 1").isEmpty():
@@ -189,8 +190,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                 return _labelled(prof, classes, roots)
         else:
             member = bands2.withColumn("root", F.col("node"))
-        pivot = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("p"))
-        pairs = member.join(pivot, "key").where(F.col("root") != F.col("p.root"))
+        pivot = stash.put("pivot", member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("p"), F.count("*").alias("n")))
+        pairs = join_counted(member, pivot, "key", ["node"]).where(F.col("root") != F.col("p.root"))
         this, that = F.struct("node", "root"), F.struct("p.node", "p.root")
         pairs = pairs.select(F.least(this, that).alias("l"), F.greatest(this, that).alias("g")).select(F.col("l.node").alias("a"), F.col("l.root").alias("root_a"), F.col("g.node").alias("b"), F.col("g.root").alias("root_b")).distinct()
         sides = [full.select(*[F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in full.columns]) for s in "ab"]
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     member = _unsettled(bands2, roots, stash)
     if member.isEmpty():
         return _labelled(prof, classes, roots)
-    dealt = _dealt(member).join(full, "node")
+    dealt = _dealt(member, stash).join(full, "node")
     links = dealt.groupBy("key", "i", "j").applyInArrow(_block(percent), "a long, b long")
     return _labelled(prof, classes, _merged(roots, links, stash))
 
@@ -210,15 +211,15 @@ def _merged(roots: DataFrame, links: DataFrame, stash: Stash) -> DataFrame:
     return stash.put("roots", roots.join(up, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
-def _dealt(member: DataFrame) -> DataFrame:
+def _dealt(member: DataFrame, stash: Stash) -> DataFrame:
     """(key, i, j, node, root, part): each bucket's members in the pairs of blocks that they are compared in.
 
     The bucket's largest component fills blocks of its own, which are not compared with each other.
     """
     size = member.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("big"), F.sum("c").alias("n"))
-    parts = size.select("key", F.col("big.root").alias("most"), F.ceil((F.col("n") - F.col("big.c")) / BLOCK).alias("others"), F.ceil(F.col("big.c") / BLOCK).alias("bigs"))
+    parts = size.select("key", F.col("big.root").alias("most"), F.ceil((F.col("n") - F.col("big.c")) / BLOCK).alias("others"), F.ceil(F.col("big.c") / BLOCK).alias("bigs"), "n")
     h = F.xxhash64("node")
-    own = member.join(parts, "key").withColumn("in", F.col("root") == F.col("most"))
+    own = join_counted(member, stash.put("parts", parts), "key", ["node"]).withColumn("in", F.col("root") == F.col("most"))
     own = own.withColumn("part", F.when(F.col("in"), F.col("others") + F.pmod(h, "bigs")).otherwise(F.pmod(h, "others")))
     own = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("in"), F.col("others")).otherwise(F.col("others") + F.col("bigs")) - 1)))
     return own.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "node", "root", "part")
@@ -245,9 +246,9 @@ def _full(k: int):
 def _unsettled(bands: DataFrame, roots: DataFrame, stash: Stash) -> DataFrame:
     """Members, with their components, of the buckets that hold more than one component."""
     now = stash.put("now", bands.select("key", "node").join(roots, "node"))
-    several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    out = stash.put("open", now.join(several, "key"))
-    stash.drop("now")
+    several = stash.put("several", now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n"))
+    out = stash.put("open", join_counted(now, several, "key", ["node"]))
+    stash.drop("now", "several")
     return out
 
 
@@ -263,15 +264,20 @@ def _labelled(prof: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least doc_id; of equal rows, one stays."""
+    """``docs`` with one document of each class: the one with the least doc_id; of rows of one doc_id and text, one stays.
+
+    Documents without words, null and empty texts among them, and rows without doc_id all stay; rows that repeat
+    a doc_id are told apart by their texts; an empty table gives an empty one. Columns of any name are kept.
+    """
     found = near_duplicates(docs, k, percent)
     found = Stash(docs.sparkSession, "near").put("found", found.select("doc_id", "told", "n_shingles", "stays"))
-    gone = found.where("not stays").select(F.col("doc_id").alias("__doc"), F.col("told").alias("__told")).distinct()
-    told = F.xxhash64("text")
-    out = docs.join(gone, (F.col("doc_id").cast("long") == F.col("__doc")) & (told == F.col("__told")), "left_anti")
-    again = found.where("stays and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "told").count().where("count > 1")
+    key = F.struct("doc_id", "told").alias("key")
+    gone = found.where("not stays").select(key).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = rows.withColumn("of", F.struct(F.col("doc.doc_id").cast("long").alias("doc_id"), F.xxhash64("doc.text").alias("told")))
+    out = rows.join(gone, F.col("of") == F.col("key"), "left_anti")
+    again = found.where("stays and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "told").count().where("count > 1").select(key)
     if not again.isEmpty():
-        again = again.select(F.col("doc_id").alias("__doc"), F.col("told").alias("__told"))
-        same = (F.col("doc_id").cast("long") == F.col("__doc")) & (told == F.col("__told"))
-        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out
+        same = F.col("of") == F.col("key")
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["of"]))
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

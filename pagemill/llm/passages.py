@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import kernels as K
+from pagemill.llm.skew import join_counted
 from pagemill.llm.storage import Stash
 
 #: A boundary is where bits LOW to LOW + BITS - 1 of the 16-bit gear hash are 0: the last LOW + BITS bytes set them.
@@ -19,8 +20,6 @@ LEAST, LONG, REACH, MOST = 8, 96, 12, 1024
 #: on average, at the two ends of a passage also hold other text, and the hash needs 8 bytes to forget what precedes
 #: it: of a passage of 50 words about 43 lie in whole repeated chunks.
 WORDS = 36
-#: Digests that hold more than one in COMMON of all chunks are joined by a broadcast; there are at most COMMON of them.
-COMMON = 50_000
 
 _TABLE = (K.seeds64(256, 61) >> np.uint64(48)).astype(np.uint16)
 
@@ -103,22 +102,6 @@ def _chunks(batches):
             yield pa.record_batch([pa.array(K.hashes(low, s, e).view(np.int64)), pa.array(doc[i + row]), pa.array(where), pa.array(((e - s) << 11 | words).astype(np.int32))], ["digest", "doc_id", "at", "extent"])
 
 
-def _first_holders(chunks: DataFrame, again: DataFrame) -> DataFrame:
-    """Rows of ``chunks`` whose digest stands in ``again`` (digest, first, n), with first.
-
-    A digest of a third of all chunks would go to one task. The commonest digests, whose number is
-    bounded, are joined by a broadcast; their rows then go through the other join under keys of their own, where nothing meets them.
-    """
-    total = again.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    common = F.col("n") > total // COMMON
-    hot = again.where(common).select(F.col("digest").alias("hot"), F.col("first").alias("hot_first"))
-    rest = again.where(~common).select(F.col("digest").alias("key"), "first")
-    dealt = chunks.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
-    dealt = dealt.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.xxhash64("doc_id", "at")))
-    first = F.coalesce("hot_first", "first")
-    return dealt.join(rest, "key", "left").withColumn("first", first).where("first is not null").select(*chunks.columns, "first")
-
-
 def repeated_passages(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
     """(doc_id, start, end, n_words, n_chunks, first_doc_id, original, copied, told): passages that stand in several documents.
 
@@ -139,7 +122,7 @@ def repeated_passages(docs: DataFrame, least_words: int = WORDS) -> DataFrame:
     again = rows.mapInArrow(_digests, "digest long, doc_id long").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("digest", "first", "n")
     again = Stash(docs.sparkSession, "passages").put("again", again)
     chunks = rows.mapInArrow(_chunks, "digest long, doc_id long, at long, extent int")
-    held = _first_holders(chunks, again).select("doc_id", F.shiftright("at", 32).alias("told"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "extent", "first")
+    held = join_counted(chunks, again, "digest", ["doc_id", "at"]).select("doc_id", F.shiftright("at", 32).alias("told"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "extent", "first")
     # dealt by document once, for the grouping and for the windows
     held = held.repartition("doc_id", "told").groupBy("doc_id", "told", "at").agg(F.max("extent").alias("extent"), F.min("first").alias("first"))
     held = held.select("doc_id", "told", "at", "first", (F.col("first") < F.col("doc_id")).alias("copy"), F.shiftright("extent", 11).alias("size"), F.col("extent").bitwiseAND(F.lit(2047)).alias("words"))
