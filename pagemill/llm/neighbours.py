@@ -9,13 +9,26 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.storage import Stash
 
-#: Vectors of a shard; queries of a block.
-SHARD, QUERIES = 4096, 1024
+#: A shard holds SHARD vectors at least; with more than SHARDS shards of that size, shards grow, up to SHARD_BYTES of vectors.
+SHARD, SHARDS, SHARD_BYTES = 4096, 256, 64 << 20
+#: Queries of a block.
+QUERIES = 1024
 #: Out-degree, beam width while building and while searching, and the relaxation of pruning.
 DEGREE, BEAM, SEARCH, ALPHA = 32, 64, 96, 1.2
 _BATCH = 256
 
 
+def _near_origin(vectors: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """``others`` in single precision, after the step that moves the mean of ``vectors`` to 0 and scales them to 1 at most.
+
+    Differences would drown in squares of vectors far from the origin, and very large ones have no squares.
+    """
+    scale = np.abs(vectors).max() or 1.0
+    mean = (vectors / scale).mean(0)
+    spread = np.abs(vectors / scale - mean).max() or 1.0
+    return ((others / scale - mean) / spread).astype(np.float32)
+
+
 def _beam(vectors: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, width: int):
     """Greedy beam searches, all queries at once: the beams (ids, squared distances) and the nodes expanded."""
     b, n = len(queries), len(vectors)
@@ -109,16 +122,16 @@ def build(vectors: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _index(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One row: a shard's distinct vectors, the row ids of each, and the graph."""
-    ids = table.column("vec_id").to_numpy()
+    """One row: a shard's distinct vectors, the row ids of each with their numbers of rows, and the graph."""
+    ids, many = table.column("vec_id").to_numpy(), table.column("m").to_numpy()
     dim = key[0].as_py()
     x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) + 0.0  # no negative zeros
     distinct, of = np.unique(x, axis=0, return_inverse=True)
     order = np.lexsort((ids, of.reshape(-1)))
     first = np.searchsorted(of.reshape(-1)[order], np.arange(len(distinct) + 1))
-    graph, start = build(distinct.astype(np.float32))
-    blobs = [distinct, ids[order], first.astype(np.int64), graph]
-    return pa.table({"dim": [key[0]], "shard": [key[1]], "start": pa.array([start], pa.int32()), **{c: pa.array([b.tobytes()], pa.binary()) for c, b in zip(("vectors", "ids", "first", "graph"), blobs, strict=True)}})
+    graph, start = build(_near_origin(distinct, distinct))
+    blobs = [distinct, ids[order], many[order], first.astype(np.int64), graph]
+    return pa.table({"dim": [key[0]], "shard": [key[1]], "start": pa.array([start], pa.int32()), **{c: pa.array([b.tobytes()], pa.binary()) for c, b in zip(("vectors", "ids", "many", "first", "graph"), blobs, strict=True)}})
 
 
 def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -131,16 +144,23 @@ def _search(k: int):
         row = table.to_pylist()[0]
         dim = row["dim"]
         x, q = (np.frombuffer(row[c]).reshape(-1, dim) for c in ("vectors", "q_vectors"))
-        ids, first, q_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "first", "q_ids"))
+        ids, many, first, q_ids = (np.frombuffer(row[c], np.int64) for c in ("ids", "many", "first", "q_ids"))
         graph = np.frombuffer(row["graph"], np.int32).reshape(-1, DEGREE)
+        small, asked = _near_origin(x, x), _near_origin(x, q)
         out: list[tuple] = []
         for i in range(0, len(q), _BATCH):
-            beam, _, _ = _beam(x.astype(np.float32), graph, row["start"], q[i : i + _BATCH].astype(np.float32), max(SEARCH, 2 * k))
+            # a query far outside of the shard may have no square in single precision; where it ends is the nearest start then
+            beam, _, _ = _beam(small, graph, row["start"], np.clip(asked[i : i + _BATCH], -1e15, 1e15), max(SEARCH, 2 * k))
             for r, nodes in enumerate(beam):
                 nodes = nodes[nodes >= 0]
                 d = np.sqrt(((x[nodes] - q[i + r]) ** 2).sum(1))
-                # a vector's least ids are the only ones that can be among the k nearest
-                each = [(s, v) for s, node in sorted(zip(d.tolist(), nodes.tolist(), strict=True)) for v in ids[first[node] : min(first[node + 1], first[node] + k + 1)].tolist() if v != q_ids[i + r]]
+                each: list[tuple] = []
+                for score, node in zip(d.tolist(), nodes.tolist(), strict=True):
+                    own = bool((x[node] == q[i + r]).all())
+                    # a vector's least ids are the only ones that can be among the k nearest
+                    at = slice(first[node], min(first[node + 1], first[node] + k + 1))
+                    for v, m in zip(ids[at].tolist(), many[at].tolist(), strict=True):
+                        each += [(score, v)] * (m - (own and v == q_ids[i + r]))
                 each.sort()
                 out += [(int(q_ids[i + r]), q[i + r].tobytes(), v, s) for s, v in each[:k]]
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -149,36 +169,38 @@ def _search(k: int):
     return run
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
+def _usable(vectors: DataFrame, k: int) -> DataFrame:
+    """Rows (vec_id, v, dim, m): m rows are equal, of which more than k + 1 tell nothing more."""
     ok = F.forall("embedding", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim")).distinct()
+    return rows.groupBy(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim")).agg(F.least(F.count("*"), F.lit(k + 1)).cast("long").alias("m"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10) -> DataFrame:
     """Each query's k nearest rows that the search finds: (query_id, rank, vec_id, score), nearest first, ties to the smaller vec_id.
 
     ``vectors`` and ``queries`` have vec_id and embedding; by default the queries are the rows whose vec_id is
-    divisible by 100. The score is the Euclidean distance in double precision; a row with the
-    query's own vec_id is no candidate. Every row is indexed: rows are dealt by a hash into shards
-    of about SHARD, and a shard's distinct vectors form a graph that greedy searches propose and
-    relaxed pruning thins. Queries meet every shard in blocks, and a shard's best k are merged.
+    divisible by 100. The score is the Euclidean distance in double precision; every row but the query's own
+    is a candidate. Every row is indexed: rows are dealt by a hash into shards,
+    and a shard's distinct vectors form a graph that greedy searches propose and
+    relaxed pruning thins. Queries meet every shard in blocks, and a shard's best k are merged; shards grow with the
+    rows, up to SHARD_BYTES, so that few searches do.
 
     Rows without vec_id, and vectors that are null, zero, or hold a null or non-finite component,
-    take no part; vectors of different lengths never meet; equal rows count once; equal vectors of
-    different rows are one node, and all its rows can be found. Empty tables give an empty result; other columns are not read.
+    take no part; vectors of different lengths never meet. Equal vectors are one node, and all its rows can be found: a row that
+    repeats is a candidate for its like. Equal rows ask once; rows of one vec_id with different vectors ask each, under that id. Empty tables give an empty result; other columns are not read.
     """
     stash = Stash(vectors.sparkSession, "nearest")
-    rows = stash.put("rows", _usable(vectors))
-    asked = rows.where("vec_id % 100 = 0") if queries is None else stash.put("asked", _usable(queries))
-    count = lambda df, most, name: df.groupBy("dim").agg(F.ceil(F.count("*") / most).alias(name))
-    parts = count(rows, SHARD, "parts")
+    rows = stash.put("rows", _usable(vectors, k))
+    asked = rows.where("vec_id % 100 = 0") if queries is None else stash.put("asked", _usable(queries, k))
+    shard = F.greatest(F.least(F.count("*") / SHARDS, F.lit(float(SHARD_BYTES)) / 8 / F.col("dim")), F.lit(float(SHARD)))
+    parts = rows.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("parts"))
     # a partition for each shard: building a graph takes long beside the bytes that it reads
     tasks = max(1, int(parts.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]))
     dealt = rows.join(parts, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), "parts"))
-    index = dealt.select("dim", "shard", "vec_id", "v").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(_index, "dim int, shard long, start int, vectors binary, ids binary, first binary, graph binary")
+    index = dealt.select("dim", "shard", "vec_id", "v", "m").repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(_index, "dim int, shard long, start int, vectors binary, ids binary, many binary, first binary, graph binary")
     index = stash.put("index", index)
-    asked = asked.join(count(asked, QUERIES, "blocks"), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), "blocks"))
+    asked = asked.join(asked.groupBy("dim").agg(F.ceil(F.count("*") / QUERIES).alias("blocks")), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), "blocks"))
     blocks = asked.select("dim", "block", "vec_id", "v").groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, q_ids binary, q_vectors binary")
     blocks = stash.put("blocks", blocks).join(parts, "dim").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("shard")).drop("parts")
     met = index.join(blocks, ["dim", "shard"]).repartition(tasks, "dim", "shard").groupBy("dim", "shard", "block").applyInArrow(_search(k), "query_id long, q binary, vec_id long, score double")
