@@ -14,7 +14,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int
     """Texts and labels (text, y) of at most ``per_class`` documents of each label, and how many documents each stands for.
 
     ``train`` is a condition on doc_id. The documents whose ids have the least MD5 values are
-    taken. Rows without doc_id or with a label other than 0 or 1 don't count; of a doc_id with several labels the least holds.
+    taken. Rows without doc_id or with a label other than 0 or 1 don't count; of a doc_id with several labels the
+    least holds, and of one with several texts the one of the least hash.
     """
     known = labels.where(train & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     order = F.md5(F.col("doc_id").cast("string"))
@@ -24,4 +25,4 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int
     weight = {y: max(1.0, there.get(y, 0) / per_class) for y in (0, 1)}
     # the sample is bounded by its row count, so it may go to every task
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return texts.select("doc_id", "text", "y"), weight
+    return texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y"), weight

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import kernels as K
 from pagemill.llm.labelled import sample
+from pagemill.llm.storage import Stash
 
 #: Weights are hashed into so many places.
 SIZE = 1 << 20
 #: Bytes that a word's stem keeps.
 STEM = 4
-#: Learning takes at most so many documents of each label.
-PER_CLASS = 4096
+#: Learning takes at most so many documents of each label, and so many bytes of their features.
+PER_CLASS, CLASS_BYTES = 4096, 64 << 20
 _U = np.uint64
 _SALT = K.seeds64(8, 51)
 
@@ -67,19 +68,25 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def _featured(batches):
+    """(doc_id, y, at): a document's distinct feature places, with the bias."""
+    for batch in batches:
+        raw, off = K.spans(batch.column("text"))
+        at = [np.append(np.unique(features(raw, off[r : r + 2])[0]), SIZE).astype(np.int32).tobytes() for r in range(len(batch))]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(at, pa.binary())], ["doc_id", "y", "at"])
+
+
+def _order(doc_id: int) -> tuple[int, int]:
+    return int(K.mix64(np.array([doc_id], np.int64).view(_U))[0]), doc_id
+
+
 def _learner(weight: dict[int, float], rounds: int):
     def run(batches):
-        rows = []
-        for batch in batches:
-            raw, off = K.spans(batch.column("text"))
-            ids, y = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist()
-            for r in range(len(batch)):
-                at = np.unique(features(raw, off[r : r + 2])[0])
-                rows.append((int(K.mix64(np.array([ids[r]], np.int64).view(_U))[0]), ids[r], np.append(at, SIZE).astype(np.int32), y[r]))
-        rows.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
+        rows = [(*r, np.frombuffer(at, np.int32)) for batch in batches for *r, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "at")), strict=True)]
+        rows.sort(key=lambda x: _order(x[0]))
         model = Ftrl()
         for _ in range(rounds):
-            for _, _, at, y in rows:
+            for _, y, at in rows:
                 model.learn(at, y, weight[y])
         w = model.weights(np.arange(SIZE + 1))
         at = np.append(np.flatnonzero(w[:-1]), SIZE)
@@ -88,11 +95,31 @@ def _learner(weight: dict[int, float], rounds: int):
     return run
 
 
+def _within(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """Of documents (doc_id, bytes), in the order of learning, those that fit into ``most`` bytes."""
+    out, used = [], 0
+    for doc_id, n in sorted(sizes, key=lambda x: _order(x[0])):
+        if used + n <= most:
+            out.append(doc_id)
+            used += n
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int = PER_CLASS, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """(places, weights) other than 0, the bias last; from at most ``per_class`` documents of each label that meet ``train``."""
+    """(places, weights) other than 0, the bias last; from at most ``per_class`` documents and CLASS_BYTES of each label that meet ``train``.
+
+    Features are made where the texts are; only the places of a bounded sample's features go to the task that learns.
+    """
     texts, weight = sample(docs, labels, label, train, per_class)
-    # the bounded sample goes to one task; the scan that finds it stays spread
-    got = texts.repartition(1).mapInArrow(_learner(weight, rounds), "place int, weight double").toPandas()
+    spark, stash = docs.sparkSession, Stash(docs.sparkSession, "toxicity")
+    made = stash.put("features", texts.mapInArrow(_featured, "doc_id long, y int, at binary"))
+    sizes = {y: [(r.doc_id, r.n) for r in made.where(F.col("y") == y).select("doc_id", F.octet_length("at").alias("n")).collect()] for y in (0, 1)}
+    taken = {y: _within(sizes[y], CLASS_BYTES) for y in (0, 1)}
+    weight = {y: weight[y] * len(sizes[y]) / max(1, len(taken[y])) for y in (0, 1)}
+    if sum(map(len, taken.values())) < len(sizes[0]) + len(sizes[1]):
+        made = made.join(F.broadcast(spark.createDataFrame([(d,) for y in (0, 1) for d in taken[y]], "doc_id long")), "doc_id", "left_semi").select("doc_id", "y", "at")
+    got = made.repartition(1).mapInArrow(_learner(weight, rounds), "place int, weight double").toPandas()
+    stash.drop("features")
     if not len(got):
         return np.array([SIZE], np.int32), np.zeros(1)
     return got["place"].to_numpy(), got["weight"].to_numpy()
@@ -120,8 +147,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train=None, per_class: in
     """(doc_id, score): the chance, from its whole text, that a document is toxic.
 
     Learned from ``labels`` (doc_id, toxic) whose doc_id meets the condition ``train`` (all by
-    default), from at most ``per_class`` documents of each label in the order of their ids' MD5;
-    each stands for as many as its label has. A feature counts once a document. Only non-zero
+    default), from at most ``per_class`` documents of each label in the order of their ids' MD5, as far as
+    their features fit into CLASS_BYTES; each stands for as many as its label has. A feature counts once a document. Only non-zero
     weights go to the tasks, SIZE + 1 of them at most.
 
     Null and empty texts get the score of a text without features. Without labelled rows every score
