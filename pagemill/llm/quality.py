@@ -103,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train=None
     """
     texts, weight = sample(docs, labels, label, F.lit(True) if train is None else train, per_class)
     stash = Stash(docs.sparkSession, "quality")
-    texts = stash.put("sample", texts.where("text <> ''").withColumn("told", F.xxhash64("text")).dropDuplicates(["doc_id", "told"]))
+    texts = stash.put("sample", texts.where("text <> ''").withColumn("told", F.xxhash64("text")))
     rows = texts.select("y", "doc_id", "told", F.octet_length("text").alias("size")).collect()
     # within a label, documents are taken in turn in the order of a hash
     got = sorted((r.y, int(K.mix64(np.array([r.doc_id], np.int64).view(np.uint64))[0]), r.doc_id, r.told, r.size) for r in rows)
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train=None
 def _drawer(shared):
     def run(batches):
         for batch in batches:
-            got = [(d, t, _drawn(text.as_py().encode(), shared.value[d, t])) for d, t, text in _keyed(batch) if (d, t) in shared.value]
+            got = [(d, t, _drawn(text.as_buffer().to_pybytes(), shared.value[d, t])) for d, t, text in _keyed(batch) if (d, t) in shared.value]
             yield _table(got, ["doc_id", "told", "blocks"], pa.list_(pa.binary()))
 
     return run
@@ -141,7 +141,7 @@ def _measurer(shared):
     def run(batches):
         model, keys = shared.value
         for batch in batches:
-            got = [(d, t, list(model.measures(text.as_py().encode()))) for d, t, text in _keyed(batch) if (d, t) in keys]
+            got = [(d, t, list(model.measures(text.as_buffer().to_pybytes()))) for d, t, text in _keyed(batch) if (d, t) in keys]
             yield _table(got, ["doc_id", "told", "x"], pa.list_(pa.float64()))
 
     return run
@@ -156,21 +156,24 @@ def _table(rows: list[tuple], names: list[str], last: pa.DataType) -> pa.RecordB
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), last), strict=True)], names)
 
 
-def _scorer(shared):
+def _scorer(shared, name: str):
     def run(batches):
         model = shared.value
         for batch in batches:
             raw, off = K.spans(batch.column("text"))
             data = raw.data
             x = np.array([model.measures(bytes(data[a:b])) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]).reshape(-1, 3)
-            yield pa.record_batch([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, "__score"])
+            yield pa.record_batch([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, name])
 
     return run
 
 
-def with_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``__score``: the chance, from its whole text, that a document is good."""
-    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+def with_quality(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, which no other may have: the chance, from its whole text, that a document is good.
+
+    Null and empty texts get the curve's score of no difference; rows that repeat are scored each; an empty table gives an empty one.
+    """
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, train=None, per_class: int = PER_CLASS) -> DataFrame:
@@ -186,4 +189,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, train=None, per_class: int
     """
     model = learn(docs, labels, "quality", train, per_class)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_quality(rows, model).select("doc_id", F.col("__score").alias("score"))
+    return with_quality(rows, model).select("doc_id", "score")
