@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pagemill.llm import decontam, labelled, license_scan, mixing, near_dup, neighbours, passages, quality, queries, sketch, surrogates, token_files, toxicity
+from pagemill.llm import decontam, labelled, license_scan, mixing, near_dup, neighbours, passages, quality, queries, sketch, skew, surrogates, token_files, toxicity
 from pagemill.llm import kernels as K
 
 pytestmark = pytest.mark.usefixtures("spark")
@@ -152,6 +152,7 @@ def chain(rng, n):
 
 def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(skew, "COMMON", 200)
     rng = random.Random(3)
     rows = list(enumerate(chain(rng, 300) + [prose(rng, 40, 3000) for _ in range(50)]))
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -160,6 +161,7 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
 
 
 def test_dropping_near_duplicates_keeps_one_row_of_each_class(odd, none):
+    odd = odd.withColumnsRenamed({"size": "of", "score": "key", "node": "doc", "root": "told"})
     kept = near_dup.drop_near_duplicates(odd, 5)
     assert kept.columns == odd.columns
     rows = [(r.doc_id, r.text) for r in kept.collect()]
@@ -354,7 +356,7 @@ def brute_passages(rows, least):
 
 def test_repeated_passages_against_brute_force(spark, monkeypatch):
     """Random compositions of shared parts; every shared part has to survive the cutting in some document."""
-    monkeypatch.setattr(passages, "COMMON", 40)
+    monkeypatch.setattr(skew, "COMMON", 40)
     rng = random.Random(17)
     parts = [prose(rng, rng.randrange(50, 90), 10**6) for _ in range(8)] + ["la di da " * 40, "=-" * 200]
     texts = [" ".join(rng.choice(parts) if rng.random() < 0.6 else prose(rng, rng.randrange(1, 40), 10**6) for _ in range(rng.randrange(0, 7))) for _ in range(60)]
@@ -400,6 +402,28 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_every_row_but_the_querys_own_is_a_candidate(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [1.0, 3.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [5.0, 5.0])]
+    got = sorted((r.rank, r.vec_id, round(r.score, 3)) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).collect())
+    one = [(1, 0, 0.0), (2, 1, 0.0), (3, 1, 0.0), (4, 0, 1.0)]
+    other = [(1, 0, 1.0), (2, 0, 1.0), (3, 1, 1.0), (4, 1, 1.0)]
+    assert got == sorted(one + other)
+
+
+@pytest.mark.parametrize("move,scale", [(1000.0, 1.0), (0.0, 1e30), (-5.0, 1e-30)])
+def test_neighbours_far_from_the_origin_and_of_any_size(move, scale):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(3000, 24)) + move) * scale
+    small = neighbours._near_origin(x, x)
+    graph, start = neighbours.build(small)
+    beam, _, _ = neighbours._beam(small, graph, start, small[:100], neighbours.SEARCH)
+    hit = 0
+    for q in range(100):
+        d = (((x - x[q]) / scale) ** 2).sum(1)
+        hit += len({*np.argsort(d)[:10].tolist()} & {*beam[q].tolist()})
+    assert hit >= 950
+
+
 # 6
 
 
@@ -531,6 +555,39 @@ def test_a_very_long_document_displaces_no_other(spark):
     assert b"".join(drawn[0]) == texts[0] and b"".join(drawn[1]) == texts[1] and 25_000 < sum(len(b) for d in drawn for b in d) <= 60_000
 
 
+def test_scores_stand_beside_any_columns(odd):
+    model = quality.Model(b"", b"", np.array([0.0, 0.0, 1.0]))
+    got = quality.with_quality(odd, model, skew.unused(odd.columns, "SCORE"))
+    assert got.columns == [*odd.columns, "SCORE_"] and got.count() == len(awkward())
+
+
+def test_samples_are_bounded_where_doc_ids_repeat_and_texts_are_long(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 30) + (" bad words" if i % 2 else "")) for i in range(60)] + [(7, f"other text {j}") for j in range(50)] + [(8, prose(rng, 20_000, 90_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    texts, weight = labelled.sample(df, labels, "toxic", toxicity.F.lit(True), 100)
+    assert texts.count() == 60 and weight == {0: 1.0, 1: 1.0}
+    monkeypatch.setattr(toxicity, "CLASS_BYTES", 12_000)
+    assert toxicity._within([(1, 9000), (2, 9000), (3, 2000)], 12_000) in ([1, 3], [3, 1], [2, 3], [3, 2])
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, labels).where("doc_id not in (7, 8)").collect()}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if not i % 2)
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from pagemill.llm import storage
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session)
+
+
 def test_training_folds_are_apart(spark, sf):
     ids = spark.range(50).withColumnRenamed("id", "doc_id")
     for r in ids.select("doc_id", labelled.fold(5).alias("f"), labelled.fold(3).alias("g")).collect():
