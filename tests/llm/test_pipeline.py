@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from pagemill.llm import queries
+from pagemill.llm import labelled, queries
 from pagemill.llm.labelled import fold
 from pagemill.llm.quality import learn
-from tests.llm.test_corpus_operators import brute_classes, brute_contained, library, water_fill, words
+from tests.llm.test_corpus_operators import SCHEMA, awkward, brute_classes, brute_contained, library, water_fill, words
 
 
 def size(t):
@@ -89,6 +89,32 @@ def test_token_files(stages):
         at += len(ids) + 1
 
 
+CLASHES = {"size": "size", "score": "score", "node": "doc", "root": "copies"}
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_awkward_rows_with_clashing_columns(spark, sf, name, stage):
+    """Nulls, empty and long texts, repeats and ties; columns with the names that the operators themselves use."""
+    odd = spark.createDataFrame(awkward(), SCHEMA).withColumnsRenamed(CLASHES).withColumn("taken", labelled.F.lit("kept"))
+    got, none = stage(spark, odd, sf), stage(spark, odd.limit(0), sf)
+    assert none.count() == 0
+    if name == "token_files":
+        assert got.count() == len(awkward())
+        return
+    assert got.schema.fieldNames() == odd.columns and none.columns == odd.columns
+    rows = collections.Counter(map(tuple, got.collect()))
+    given = collections.Counter((*r, "kept") for r in awkward())
+    assert rows and set(rows) <= set(given)
+    if name != "source_mix":
+        assert all(n <= given[r] for r, n in rows.items())
+    if name == "near_duplicates":
+        assert {r[1] for r in given} == {r[1] for r in rows} | {awkward()[i][1] for i in (6, 7)} and max(n for r, n in rows.items() if r[0] is not None) == 1
+    if name == "decontamination":
+        assert rows == given
+    if name == "source_mix":
+        assert all(rows[r] <= 3 * given[r] for r in rows) and not any(size(r[1]) == 0 for r in rows)
+
+
 def test_run_gives_the_last_stage(stages, spark, sf):
     key = lambda r: (r.start, r.doc_id)
     want = [(r.doc_id, r.start, r.ids_crc32) for r in sorted(stages["token_files"][1].collect(), key=key)]
