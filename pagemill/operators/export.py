@@ -47,3 +47,10 @@ def document_json(pages: DataFrame, fonts: DataFrame, links: DataFrame, warnings
     left = warnings.join(pages.select(*PAGE), [*PAGE], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "code", "message", "detail"))).alias("warnings"))
     out = p.join(f, "doc_id", "left").join(k, "doc_id", "left").join(left, "doc_id", "left")
     return out.select("doc_id", F.to_json(F.struct("page_count", "pages", "fonts", "links", "warnings")).alias("json"))
+
+
+def document_text(pages: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, text, text_error): the strict texts of a document's pages one after the other; the first page that can't be read ends it with an error and no text."""
+    first = F.min(F.when(F.col("text_error").isNotNull(), F.struct("page_no", "text_error")))["text_error"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda e: F.coalesce(e["text"], F.lit(""))), "")
+    return pages.groupBy(by).agg(text.alias("text"), first.alias("text_error")).withColumn("text", F.when(F.col("text_error").isNull(), F.col("text")).otherwise(""))

@@ -52,7 +52,7 @@ lines AS (SELECT doc_id, page_no, line_no, string_agg(s, ' ' ORDER BY word_no) A
 
 @query(f"WITH {_LINES_SQL} SELECT doc_id, page_no, s, x, y, w, n_words, font FROM lines")
 def q_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LAY-9 to 14, 16: lines of words, where no gutter shows."""
+    """LAY-9, 14, 16: lines of words, where no gutter shows."""
     return layout.lines(layout.words(_glyphs(spark, sf_dir))).select("doc_id", "page_no", "s", "x", "y", "w", "n_words", "font")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 from pagemill.operators import export, layout, quality, seq, structure, tables
 from pagemill.plans import projections as P
-from pagemill.plans.catalogue import _PAGES_SQL, _glyphs, _routed, query
-from pagemill.plans.projections import GLYPHS_SQL, SHIP_SQL, table
+from pagemill.plans.catalogue import _PAGES_SQL, SQL, _glyphs, _routed, query
+from pagemill.plans.projections import GLYPHS_SQL, SHIP_SQL, WORDS_SQL, table
 from pagemill.sources import pdf
 
 # text
@@ -84,18 +84,32 @@ def q_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {GLYPHS_SQL},
-e AS (SELECT doc_id, page_no, s, CASE WHEN line_no % 4 = 0 AND tok_no = 0 THEN (length(s) * 7 % 100)::VARCHAR ELSE s END AS t, (line_no % 4 = 0 AND tok_no = 0) AS mark, y FROM g),
-p AS (SELECT doc_id, (page_no * 10 + (760 - y)::INT // 72)::INT AS page_no, t, y FROM e WHERE mark),
-a AS (SELECT doc_id, page_no, count(*) AS n, bool_and(regexp_matches(t, '^[0-9.\\-/()\\[\\]–—]{{1,4}}$') AND (y <= 79.2 OR y + 12 >= 712.8)) AS ok FROM p GROUP BY doc_id, page_no)
-SELECT doc_id, page_no FROM a WHERE n <= 3 AND ok"""
+e AS (SELECT doc_id, line_no, y, CASE WHEN length(s) <= 4 THEN (length(s) * 7)::VARCHAR ELSE s END AS t FROM g),
+a AS (SELECT doc_id, line_no, count(*) AS n, bool_and(regexp_matches(t, '^[0-9.\\-/()\\[\\]–—]{{1,4}}$') AND (y <= 79.2 OR y + 12 >= 712.8)) AS ok, bool_or(regexp_matches(t, '[0-9]')) AS digit FROM e GROUP BY doc_id, line_no)
+SELECT doc_id, line_no::INT AS page_no FROM a WHERE n <= 3 AND ok AND digit"""
 )
 def q_sparse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QUA-7: pages made of every fourth line's first token, turned into a number, that look like page numbers alone."""
-    g = _glyphs(spark, sf_dir).where("line_no % 4 = 0 and tok_no = 0")
-    w = g.select("doc_id", (F.col("page_no") * 10 + F.floor((760 - F.col("y")) / 72)).cast("int").alias("page_no"), (F.length("s") * 7 % 100).cast("string").alias("s"), "y", "h")
+    """QUA-7: lines as pages; tokens of up to four characters, as numbers, may be all that a page holds."""
+    short = F.length("s") <= 4
+    w = _glyphs(spark, sf_dir).select("doc_id", F.col("line_no").cast("int").alias("page_no"), F.when(short, (F.length("s") * 7).cast("string")).otherwise(F.col("s")).alias("s"), "y", "h")
     return quality.sparse_pages(w, F.lit(0.0), F.lit(792.0))
 
 
+@query(
+    f"""WITH {GLYPHS_SQL},
+a AS (SELECT doc_id, line_no, bool_and(length(s) > 4) AS ok FROM g GROUP BY doc_id, line_no)
+SELECT doc_id, line_no::INT AS page_no, 'image_only' AS code, 'page has images but no extractable text' AS message, '' AS detail FROM a WHERE ok"""
+)
+def q_routing_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QUA-4, 6: lines as pages, and tokens of more than four characters as images; pages without words are warned of."""
+    g = _glyphs(spark, sf_dir).withColumn("page_no", F.col("line_no").cast("int"))
+    image = F.length("s") > 4
+    boxes = g.select("doc_id", "page_no").distinct().withColumn("media_box", F.array(*map(F.lit, (0.0, 0.0, 612.0, 792.0))))
+    summary = quality.page_summary(boxes, g.where(~image), g.where(image).select("doc_id", "page_no", "w", "h"))
+    pages = g.groupBy("doc_id", "page_no").agg(F.array_join(F.collect_list(F.when(~image, F.col("s"))), " ").alias("text"), F.count_if(image).alias("n_images"), F.lit(None).cast("string").alias("text_error"), F.lit(False).alias("null_slot"))
+    return quality.routing_warnings(pages, summary)
+
+
 @query(
     f"""WITH {GLYPHS_SQL},
 i AS (SELECT doc_id, page_no, count(*) AS n, sum(w * 12 * 20) AS area FROM g WHERE s LIKE '%|%' GROUP BY doc_id, page_no),
@@ -162,14 +176,15 @@ def q_field_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages),
-n AS (SELECT doc, name, min(page_id) AS obj FROM (SELECT page_id, page_id // 25 AS doc, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages WHERE page_id % 3 = 0) GROUP BY doc, name)
+n AS (SELECT doc, name, min(page_id) AS obj FROM (SELECT page_id, page_id // 25 AS doc, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) || CASE WHEN page_id % 3 = 0 THEN '' ELSE '!' END AS name FROM pages) GROUP BY doc, name)
 SELECT page_id // 25 AS doc_id, page_id AS from_page, count(*) AS n, count(obj) AS n_resolved, sum(obj)::BIGINT AS to_sum FROM a LEFT JOIN n ON n.doc = a.page_id // 25 AND n.name = a.name GROUP BY page_id"""
 )
 def q_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-1, 2, 3, 4: links by named destination, of which the first entry holds; unresolved ones stay."""
+    """STR-1, 2, 3, 4: links by named destination, of which the first entry holds; other pages' names are not asked for, and unresolved ones stay."""
     p = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 25).alias("doc_id"), F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("i", "name"))
     notes = p.select("doc_id", F.col("page_id").alias("page_no"), F.col("i").alias("ordinal"), F.lit("Link").alias("type"), F.lit(None).cast("string").alias("uri"), F.col("name").alias("dest_name"), F.lit(None).cast("long").alias("dest_obj"))
-    dests = p.where("page_id % 3 = 0").select("doc_id", F.lit("Dests").alias("tree"), F.col("page_id").alias("ordinal"), "name", F.col("page_id").alias("dest_obj"))
+    other = F.when(F.col("page_id") % 3 == 0, F.col("name")).otherwise(F.concat("name", F.lit("!")))
+    dests = p.select("doc_id", F.lit("Dests").alias("tree"), F.col("page_id").alias("ordinal"), other.alias("name"), F.col("page_id").alias("dest_obj"))
     where = p.select("doc_id", F.col("page_id").alias("obj"), F.col("page_id").alias("page_no")).distinct()
     return structure.links(notes, dests, where).groupBy("doc_id", "from_page").agg(F.count("*").alias("n"), F.count("to_page").alias("n_resolved"), F.sum("to_page").alias("to_sum"))
 
@@ -283,7 +298,15 @@ def q_rag_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.join(labels, "doc_id", "left").select("doc_id", "page", "page_label", "total_pages", "signal", "source", "lang", "content", "quality")
 
 
-@query()
+_JSON_SQL = f"""{WORDS_SQL},
+jn AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY line_no) - 1 AS k FROM words),
+jl AS (SELECT doc_id, page_no, k, '[' || min(x) || ',' || min(780 - y) || ',' || max(x + w) || ',' || max(792 - y) || ']' AS bbox,
+              string_agg('{{"word_no":' || word_no || ',"text":' || to_json(s) || coalesce(',"font":' || to_json(font), '') || ',"size":12.0,"bbox":[' || x || ',' || (780 - y) || ',' || (x + w) || ',' || (792 - y) || ']}}', ',' ORDER BY word_no) AS spans
+       FROM jn GROUP BY doc_id, page_no, k),
+jp AS (SELECT doc_id, page_no, '{{"page":' || page_no || ',"coord_origin":"top-left","lines":[' || string_agg('{{"line_no":' || k || ',"bbox":' || bbox || ',"spans":[' || spans || ']}}', ',' ORDER BY k) || ']}}' AS json FROM jl GROUP BY doc_id, page_no)"""
+
+
+@query(f"WITH {_JSON_SQL} SELECT doc_id, page_no, json FROM jp")
 def q_debug_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXP-1: a page's lines and spans as JSON, in top-left coordinates."""
     return export.page_json(layout.words(_glyphs(spark, sf_dir)), 792.0)
@@ -319,7 +342,7 @@ _LINES_OF_PAGES = """l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS i, un
 SELECT doc_id::VARCHAR AS path, (i // 40 + 1)::INT AS page_no, md5(string_agg(line, chr(10) ORDER BY i)) AS text, 0 AS rotate, 612.0::DOUBLE AS width, NULL::VARCHAR AS text_error FROM l GROUP BY doc_id, i // 40"""
 )
 def q_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-2 to 11, 13, FLT-1, 2, DEC-4, INT-1, 7, 12: documents written as PDF files, and their pages' plain text read back."""
+    """SRC-2, 4 to 6, 8, 10 to 13, FLT-1, 2, DEC-4, INT-1, 7, 12: documents written as PDF files, and their pages' plain text read back."""
     pages = pdf.parse(P.document_files(table(spark, sf_dir, "documents")), "page")
     return pages.select("path", "page_no", F.md5("text").alias("text"), "rotate", F.col("media_box")[2].alias("width"), "text_error")
 
@@ -337,7 +360,20 @@ def q_pdf_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("path", "page_no", "y", "n", "x", "last_x", "s", "enc_source")
 
 
-@query()
+@query(
+    f"""WITH {_JSON_SQL},
+wa AS ({SQL["q_warnings"]}),
+wp AS (SELECT doc_id, page_no, string_agg('{{"code":' || to_json(code) || ',"message":' || to_json(message) || ',"detail":' || to_json(detail) || '}}', ',' ORDER BY code, message, detail) AS t FROM wa GROUP BY doc_id, page_no),
+pp AS (SELECT doc_id, count(*) AS n, string_agg('{{"page_no":' || page_no || ',"json":' || to_json(json) || coalesce(',"warnings":[' || t || ']', '') || '}}', ',' ORDER BY page_no) AS t FROM jp LEFT JOIN wp USING (doc_id, page_no) GROUP BY doc_id),
+ff AS (SELECT doc_id, font, min(seq) AS first_seq, to_json(list_sort(list(DISTINCT page_no))) AS pages FROM g GROUP BY doc_id, font),
+fd AS (SELECT doc_id, string_agg('{{"first_seq":' || first_seq || coalesce(',"name":' || to_json(font), '') || ',"subtype":"TrueType","embedded":false,"pages":' || pages || '}}', ',' ORDER BY first_seq) AS t FROM ff GROUP BY doc_id),
+ka AS (SELECT page_id AS doc_id, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS uri FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages)),
+kd AS (SELECT doc_id, string_agg('{{"from_page":1,"ordinal":' || i || ',"uri":' || to_json(uri) || '}}', ',' ORDER BY i) AS t FROM ka GROUP BY doc_id),
+wd AS (SELECT doc_id, string_agg('{{"page_no":' || page_no || ',"code":' || to_json(code) || ',"message":' || to_json(message) || ',"detail":' || to_json(detail) || '}}', ',' ORDER BY page_no, code, message, detail) AS t
+       FROM wa WHERE NOT EXISTS (SELECT 1 FROM jp WHERE jp.doc_id = wa.doc_id AND jp.page_no = wa.page_no) GROUP BY doc_id)
+SELECT pp.doc_id, '{{"page_count":' || n || ',"pages":[' || pp.t || ']' || coalesce(',"fonts":[' || fd.t || ']', '') || coalesce(',"links":[' || kd.t || ']', '') || coalesce(',"warnings":[' || wd.t || ']', '') || '}}' AS json
+FROM pp LEFT JOIN fd USING (doc_id) LEFT JOIN kd USING (doc_id) LEFT JOIN wd USING (doc_id)"""
+)
 def q_document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXP-2: documents as JSON, with pages, fonts, links and warnings."""
     docs = table(spark, sf_dir, "documents")

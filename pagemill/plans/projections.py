@@ -112,4 +112,4 @@ def document_files(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column("path"), pa.array([_pdf(t.split("\n")) for t in batch.column("text").to_pylist()], pa.binary())], ["path", "content"])
 
-    return docs.select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "path string, content binary")
+    return docs.select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text")).repartition("path").mapInArrow(run, "path string, content binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import unicodedata
 
@@ -175,14 +176,140 @@ ff FB00
 ffi FB03
 ffl FB04
 nbspace 00A0
-sfthyphen 00AD""".splitlines()
+sfthyphen 00AD
+universal 2200
+existential 2203
+emptyset 2205
+gradient 2207
+element 2208
+notelement 2209
+suchthat 220B
+asteriskmath 2217
+proportional 221D
+angle 2220
+logicaland 2227
+logicalor 2228
+intersection 2229
+union 222A
+therefore 2234
+similar 223C
+congruent 2245
+equivalence 2261
+propersubset 2282
+propersuperset 2283
+notsubset 2284
+reflexsubset 2286
+reflexsuperset 2287
+circleplus 2295
+circlemultiply 2297
+perpendicular 22A5
+dotmath 22C5
+aleph 2135
+Ifraktur 2111
+Rfraktur 211C
+weierstrass 2118
+minute 2032
+second 2033
+angleleft 2329
+angleright 232A
+spade 2660
+club 2663
+heart 2665
+diamond 2666
+carriagereturn 21B5
+afii61352 2116
+afii61248 2105
+afii61289 2113
+afii08941 20A4
+afii00208 2015
+Gamma 0393
+theta1 03D1
+phi1 03D5
+omega1 03D6
+sigma1 03C2
+longs 017F
+kgreenlandic 0138
+napostrophe 0149
+Eng 014A
+eng 014B""".splitlines()
 )
-_ACCENTS = {"grave": 0x300, "acute": 0x301, "circumflex": 0x302, "tilde": 0x303, "macron": 0x304, "breve": 0x306, "dotaccent": 0x307, "dieresis": 0x308, "ring": 0x30A, "hungarumlaut": 0x30B, "caron": 0x30C, "cedilla": 0x327, "ogonek": 0x328, "commaaccent": 0x326, "dot": 0x307}
-_GREEK = "Alpha Beta Gamma Epsilon Zeta Eta Theta Iota Kappa Lambda Mu Nu Xi Omicron Pi Rho Sigma Tau Upsilon Phi Chi Psi".split()
+# Accents by name.
+_ACCENTS = {
+    "grave": 0x300, "acute": 0x301, "circumflex": 0x302, "tilde": 0x303, "macron": 0x304, "breve": 0x306, "dotaccent": 0x307, "dot": 0x307, "dieresis": 0x308, "hookabove": 0x309, "ring": 0x30A, "hungarumlaut": 0x30B, "caron": 0x30C,
+    "dblgrave": 0x30F, "invertedbreve": 0x311, "horn": 0x31B, "dotbelow": 0x323, "commaaccent": 0x326, "cedilla": 0x327, "ogonek": 0x328, "circumflexbelow": 0x32D, "tildebelow": 0x330, "linebelow": 0x331, "tonos": 0x301,
+}
+_GREEK = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda Mu Nu Xi Omicron Pi Rho Sigma Tau Upsilon Phi Chi Psi Omega".split()
+_HEBREW = "alef bet gimel dalet he vav zayin het tet finalkaf kaf lamed finalmem mem finalnun nun samekh ayin finalpe pe finaltsadi tsadi qof resh shin tav".split()
+# First and last number of afii names, and the first character that they stand for.
+_AFII = [
+    (10017, 10022, 0x410), (10023, 10023, 0x401), (10024, 10049, 0x416), (10050, 10050, 0x490), (10051, 10061, 0x402), (10062, 10062, 0x40E), (10065, 10070, 0x430), (10071, 10071, 0x451), (10072, 10097, 0x436),
+    (10098, 10098, 0x491), (10099, 10109, 0x452), (10110, 10110, 0x45E), (10145, 10145, 0x40F), (10193, 10193, 0x45F), (57388, 57388, 0x60C), (57392, 57401, 0x660), (57403, 57403, 0x61B), (57407, 57407, 0x61F),
+    (57409, 57434, 0x621), (57440, 57450, 0x640), (57451, 57458, 0x64B), (57664, 57690, 0x5D0),
+]
+_ARROWS = dict(zip(("left", "up", "right", "down", "both", "updn"), range(6), strict=True))
+_DIGITS = "zero one two three four five six seven eight nine".split()
+_SCRIPTS = {"cyrillic": "CYRILLIC", "armenian": "ARMENIAN", "hiragana": "HIRAGANA", "katakana": "KATAKANA", "arabic": "ARABIC", "hebrew": "HEBREW", "deva": "DEVANAGARI", "bengali": "BENGALI", "gujarati": "GUJARATI", "gurmukhi": "GURMUKHI", "thai": "THAI", "bopomofo": "BOPOMOFO"}
+
+
+def _looked_up(name: str) -> str | None:
+    try:
+        return unicodedata.lookup(name)
+    except KeyError:
+        return None
+
+
+def _accented(name: str) -> str | None:
+    """A letter, Latin or a Greek one's name, with accents named one after the other."""
+    base = next((g for g in sorted([*_GREEK, *map(str.lower, _GREEK)], key=len, reverse=True) if name.startswith(g)), None)
+    letter, rest = (_greek(base), name[len(base) :]) if base and len(name) > len(base) else (name[:1], name[1:])
+    while rest:
+        accent = next((a for a in sorted(_ACCENTS, key=len, reverse=True) if rest.startswith(a)), None)
+        if accent is None or letter is None:
+            return None
+        letter, rest = unicodedata.normalize("NFC", letter + chr(_ACCENTS[accent])), rest[len(accent) :]
+    return letter if letter and len(letter) == 1 and name[:1].isascii() and name[:1].isalpha() else None
+
+
+def _greek(name: str) -> str | None:
+    if name.capitalize() not in _GREEK:
+        return None
+    return _looked_up(f"GREEK {'SMALL' if name[0].islower() else 'CAPITAL'} LETTER {name.upper().replace('LAMBDA', 'LAMDA')}")
+
+
+def _scripted(name: str) -> str | None:
+    """Names made of a letter's name and its script's."""
+    for end, script in _SCRIPTS.items():
+        stem = name.removesuffix("halfwidth").removesuffix(end)
+        if stem == name or not stem or (name.endswith("halfwidth") and end != "katakana"):
+            continue
+        wide = "HALFWIDTH " if name.endswith("halfwidth") else ""
+        case = ("CAPITAL " if stem[0].isupper() else "SMALL ") if script in ("CYRILLIC", "ARMENIAN") else ""
+        small = "SMALL " if script in ("HIRAGANA", "KATAKANA") and stem.endswith("small") else ""
+        word = stem.removesuffix("small").upper() if small else stem.upper()
+        if stem in _DIGITS:
+            return _looked_up(f"{script.replace('ARABIC', 'ARABIC-INDIC')} DIGIT {word}")
+        if word.endswith("VOWELSIGN"):
+            return _looked_up(f"{script} VOWEL SIGN {word.removesuffix('VOWELSIGN')}")
+        return _looked_up(f"{wide}{script} {case}LETTER {small}{word}") or _looked_up(f"{script} CHARACTER {word}") or _looked_up(f"{script} SIGN {word}")
+    return None
+
+
+def _formed(name: str) -> str | None:
+    """Letters and digits in circles, parentheses and full width, above and below; arrows."""
+    for end, letter, digit in (("monospace", "FULLWIDTH LATIN {} LETTER {}", "FULLWIDTH DIGIT {}"), ("circle", "CIRCLED LATIN {} LETTER {}", "CIRCLED DIGIT {}"), ("parenthesized", "PARENTHESIZED LATIN {} LETTER {}", "PARENTHESIZED DIGIT {}"), ("paren", "PARENTHESIZED LATIN {} LETTER {}", "PARENTHESIZED DIGIT {}"), ("period", "", "DIGIT {} FULL STOP"), ("inferior", "", "SUBSCRIPT {}"), ("superior", "", "SUPERSCRIPT {}")):
+        stem = name.removesuffix(end)
+        if stem != name and stem in _DIGITS:
+            return _looked_up(digit.format(stem.upper()))
+        if stem != name and len(stem) == 1 and letter and stem.isalpha():
+            return _looked_up(letter.format("SMALL" if stem.islower() else "CAPITAL", stem.upper()))
+    if name.startswith("arrow"):
+        way = name.removeprefix("arrow").removeprefix("dbl")
+        return chr((0x21D0 if "dbl" in name else 0x2190) + _ARROWS[way]) if way in _ARROWS else None
+    return None
 
 
 def glyph_text(name: str) -> str | None:
-    """What a glyph name stands for: a listed name, a letter with an accent, uniXXXX or uXXXXX, or parts joined by _; without a suffix."""
+    """What a glyph name stands for: a listed name, one that a rule makes, uniXXXX or uXXXXX, or parts joined by _; without a suffix."""
     name = name.partition(".")[0]
     if "_" in name:
         parts = [glyph_text(p) for p in name.split("_")]
@@ -195,13 +322,39 @@ def glyph_text(name: str) -> str | None:
         return "".join(chr(int(m[1][i : i + 4], 16)) for i in range(0, len(m[1]), 4))
     if m := re.fullmatch(r"u([0-9A-F]{4,6})", name):
         return chr(int(m[1], 16)) if int(m[1], 16) < 0x110000 else None
-    if (m := re.fullmatch(r"([A-Za-z])([a-z]+)", name)) and m[2] in _ACCENTS:
-        c = unicodedata.normalize("NFC", m[1] + chr(_ACCENTS[m[2]]))
-        return c if len(c) == 1 else None
-    if name.capitalize() in _GREEK:
-        low = name[0].islower()
-        return unicodedata.lookup(f"GREEK {'SMALL' if low else 'CAPITAL'} LETTER {name.upper().replace('LAMBDA', 'LAMDA')}")
-    return None
+    if m := re.fullmatch(r"afii(\d{5})", name):
+        return next((chr(to + int(m[1]) - a) for a, b, to in _AFII if a <= int(m[1]) <= b), None)
+    if name in _HEBREW:
+        return chr(0x5D0 + _HEBREW.index(name))
+    return _greek(name) or _accented(name) or _scripted(name) or _formed(name)
+
+
+# Places 96 to 230 of the Japanese collection, 0 where none; and where its first rows differ from the codec's.
+_JAPAN_LATIN = """
+02bc 005c 02bb 00a6 007e 00a1 00a2 00a3 2044 0192 0000 00a4 201c 00ab 2039 203a fb01 fb02 2012 0000 0000 00b7 0000 2022
+201a 201e 201d 00bb 0000 0000 00bf 0301 0302 00af 0306 0307 0308 030a 00b8 030b 0328 030c 0336 00c6 00aa 0141 00d8 0152
+00ba 00e6 0131 0142 00f8 0153 00df 00ad 00a9 00ac 00ae 0000 0000 00b2 00b3 00b5 00b9 00bc 00bd 00be 00c0 00c1 00c2 00c3
+00c4 00c5 00c7 00c8 00c9 00ca 00cb 00cc 00cd 00ce 00cf 00d0 00d1 00d2 00d3 00d4 00d5 00d6 0000 00d9 00da 00db 00dc 00dd
+00de 00e0 00e1 00e2 00e3 00e4 00e5 00e7 00e8 00e9 00ea 00eb 00ec 00ed 00ee 00ef 00f0 00f1 00f2 00f3 00f4 00f5 00f6 0000
+00f9 00fa 00fb 00fc 00fd 00fe 00ff 0160 0178 017d 0305 0161 2122 017e 0000"""
+_JAPAN_OTHER = {"\u3000": "\u2003", "〜": "∼", "⌒": "\u0361", "◯": "\u20dd", "¢": "￠", "£": "￡", "¬": "￢"}
+
+
+@functools.cache
+def adobe_cids(ordering: str) -> dict[int, str]:
+    """Text of the places of an Adobe character collection; none for those that aren't known.
+
+    The Japanese one holds ASCII, Latin letters, half-width katakana, and then JIS X 0208 in the order of its rows, which the codec gives.
+    """
+    if ordering != "Japan1":
+        return {}
+    out = {c - 31: chr(c) for c in range(0x20, 0x7F)} | {61: "¥", 231: "\u2002", 323: "￨", 325: "‾"}
+    out |= {96 + i: chr(int(x, 16)) for i, x in enumerate(_JAPAN_LATIN.split()) if x != "0000"}
+    out |= {327 + i: chr(0xFF61 + i) for i in range(63)} | {7479 + i: chr(0x2500 + i) for i in range(76)}
+    rows = lambda a, b: (c for r in range(a, b) for t in range(0xA1, 0xFF) if len(c := bytes([0xA0 + r, t]).decode("euc_jp", "ignore")) == 1)
+    for first, a, b in ((633, 1, 8), (1125, 16, 48), (4090, 48, 85)):
+        out |= {first + i: _JAPAN_OTHER.get(c, c) for i, c in enumerate(rows(a, b)) if first != 4090 or i < 3388}
+    return out
 
 
 def differences(base: list[str], items: list) -> tuple[list[str], int]:

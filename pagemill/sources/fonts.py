@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pagemill.sources import encodings as E
-from pagemill.sources.objects import Document, Lexer, Stream
+from pagemill.sources.objects import Document, Lexer, Stream, text
 
 
 @dataclass
@@ -20,6 +20,7 @@ class Font:
     vertical: bool = False
     table: list[str] | None = None
     cmap: E.CMap | None = None
+    cids: dict[int, str] | None = None
     charset: str | None = None
     widths: dict[int, float] = field(default_factory=dict)
     default: float = 0.0
@@ -44,6 +45,8 @@ class Font:
             return [(c, t, "tounicode") for c, t in self.cmap.decode(data)]
         if self.charset:
             return [(c, t, "ucs2" if self.charset == "utf-16-be" else "predefined") for c, t in E.decode_legacy(data, self.charset)]
+        if self.cids is not None:
+            return [(data[i : i + 2], self.cids.get(int.from_bytes(data[i : i + 2], "big"), E.GAP), "cidmap") for i in range(0, len(data) - 1, 2)]
         if self.composite:
             return [(data[i : i + 2], E.GAP, "none") for i in range(0, len(data), 2)]
         table = self.table or E.PDFDOC
@@ -136,10 +139,16 @@ def load(doc: Document, spec) -> Font:
             font.warnings.append(("vertical_writing_mode", "text is set in columns", font.name))
         if font.cmap is None:
             font.charset = E.charset(name)
+            identity = ("Identity-H", "Identity-V")
+            system = doc.get(inner, "CIDSystemInfo")
+            registry, ordering = ((text(doc.resolve(system.get(k))) if isinstance(system, dict) else "") for k in ("Registry", "Ordering"))
             if font.charset:
-                font.source = "predefined"
-            elif isinstance(to, str) and "Identity" in to and "UCS2" in str(inner.get("CIDSystemInfo", "")) or "UCS2" in name:
+                font.source = "ucs2" if font.charset == "utf-16-be" else "predefined"
+            elif name in identity and to in identity and ordering == "Identity":
                 font.charset, font.source = "utf-16-be", "ucs2"
+            elif name in identity and registry == "Adobe" and E.adobe_cids(ordering):
+                font.cids, font.source = E.adobe_cids(ordering), "cidmap"
+                font.warnings.append(("fallback_encoding", "a font's codes are places of a character collection", f"{font.name} Adobe-{ordering}"))
             else:
                 font.source = "none"
                 font.warnings.append(("fallback_encoding", "a font has no map to text", f"{font.name} {name}"))

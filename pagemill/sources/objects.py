@@ -41,7 +41,9 @@ class Stream:
 
 _SPACE = b"\0\t\n\f\r "
 _STOP = rb"\0\t\n\f\r ()<>\[\]{}/%"
-_TOKEN = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*(?:(/[^" + _STOP + rb"]*)|([+\-]?(?:\d+\.?\d*|\.\d+))(?=[" + _STOP + rb"]|$)|(<<|>>|[\[\]{}])|(<[0-9A-Fa-f\0\t\n\f\r ]*>?)|(\()|([^" + _STOP + rb"]+)|([)>]))")
+# what is passed over is not tried again in smaller pieces
+_TOKEN = re.compile(rb"(?:[\0\t\n\f\r ]++|%[^\r\n]*+)*+(?:(/[^" + _STOP + rb"]*)|([+\-]?(?:\d+\.?\d*|\.\d+))(?=[" + _STOP + rb"]|$)|(<<|>>|[\[\]{}])|(<[0-9A-Fa-f\0\t\n\f\r ]*>?)|(\()|([^" + _STOP + rb"]+)|([)>]))")
+_SPECIAL = re.compile(rb"[\\()\r]")
 _HEX = re.compile(rb"#([0-9A-Fa-f]{2})")
 _ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
 #: Nesting and chains beyond this are errors.
@@ -78,8 +80,13 @@ class Lexer:
     def _literal(self) -> bytes:
         out, deep, d, i = bytearray(), 1, self.data, self.at
         while i < len(d):
-            c = d[i]
-            i += 1
+            m = _SPECIAL.search(d, i)
+            if not m:
+                out += d[i:]
+                i = len(d)
+                break
+            out += d[i : m.start()]
+            c, i = d[m.start()], m.end()
             if c == 0x5C and i < len(d):
                 e = d[i]
                 i += 1

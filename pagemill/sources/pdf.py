@@ -40,6 +40,11 @@ RELATIONS = {
     "warning": "page_no int, code string, message string, detail string",
 }
 
+#: Rows of a batch on their way to the JVM.
+BATCH = 10_000
+#: A task of the data source reads files of about so many bytes, or so many files.
+TASK_BYTES, TASK_FILES = 64 << 20, 1000
+
 
 def rows(data: bytes, passwords: tuple[str, ...] = (), wanted: frozenset[str] = frozenset(RELATIONS)) -> Iterator[tuple]:
     """(relation, values...) of a file."""
@@ -110,18 +115,23 @@ def parse(files: DataFrame, relation: str, passwords: tuple[str, ...] = ()) -> D
 
     def run(batches):
         for batch in batches:
-            out: list[dict] = []
+            out: list[tuple] = []
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 for r in _safe(data.as_py() or b"", passwords, wanted):
-                    out.append(dict(zip(columns, (path, *r[1:]), strict=True)))
-                    if len(out) >= 10_000:
-                        yield pa.RecordBatch.from_pylist(out, schema)
+                    out.append((path, *r[1:]))
+                    if len(out) >= BATCH:
+                        yield _batch(out, schema)
                         out = []
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield _batch(out, schema)
 
     return files.select("path", "content").mapInArrow(run, kind)
 
 
+def _batch(rows_: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows_, strict=True) if rows_ else [()] * len(schema)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _arrow(kind: StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -155,33 +165,47 @@ class PdfDataSource(DataSource):
         return _Reader(self.options, schema)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.relation = options.get("relation", "page")
         self.passwords = tuple(json.loads(options.get("passwords", "[]")))
-        self.path, self.fields = options["path"], schema.fieldNames()
+        self.path, self.schema = options["path"], schema
 
     def partitions(self):
+        """Files packed into tasks by size. They are listed here; of very many, ``files`` leaves the listing to Spark."""
         from pyarrow import fs as pafs
 
         found, root = pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("/") else (pafs.LocalFileSystem(), self.path)
         it = found.get_file_info(root)
-        paths = [root] if it.is_file else [f.path for f in found.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".pdf")]
-        return [_File(p) for p in sorted(paths)]
-
-    def read(self, partition: _File):
+        listed = [it] if it.is_file else [f for f in found.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".pdf")]
+        out, size = [_Files([])], 0
+        for f in sorted(listed, key=lambda f: f.path):
+            if out[-1].paths and (size + f.size > TASK_BYTES or len(out[-1].paths) >= TASK_FILES):
+                out.append(_Files([]))
+                size = 0
+            out[-1].paths.append(f.path)
+            size += f.size
+        return out
+
+    def read(self, partition: _Files):
         from pyarrow import fs as pafs
 
         found = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("/") else pafs.LocalFileSystem()
-        with found.open_input_stream(partition.path) as f:
-            data = f.read()
-        for r in _safe(data, self.passwords, frozenset([self.relation])):
-            yield (partition.path, *r[1:])
+        kind, out = _arrow(self.schema), []
+        for path in partition.paths:
+            with found.open_input_stream(path) as f:
+                data = f.read()
+            for r in _safe(data, self.passwords, frozenset([self.relation])):
+                out.append((path, *r[1:]))
+                if len(out) >= BATCH:
+                    yield _batch(out, kind)
+                    out = []
+        yield _batch(out, kind)
 
 
 def register(spark: SparkSession) -> None:

@@ -97,3 +97,9 @@ def test_bands_are_from_top_to_bottom(ys):
     assert sorted(i for b in got for i in b.tolist()) == list(range(n))
     tops = [max(ys[i] for i in b) for b in got]
     assert all(a >= b - 0.1 for a, b in zip(tops, tops[1:]))
+
+
+def test_text_of_a_document_ends_with_its_first_error(spark):
+    rows = [(1, 2, "b", None), (1, 1, "a", None), (2, 1, "a", None), (2, 2, "", "bad operand"), (3, 1, None, None)]
+    got = {r.doc_id: (r.text, r.text_error) for r in export.document_text(spark.createDataFrame(rows, "doc_id long, page_no int, text string, text_error string")).collect()}
+    assert got == {1: ("ab", None), 2: ("", "bad operand"), 3: ("", None)}

@@ -31,7 +31,7 @@ def test_kerning_makes_blanks_and_array_ends():
     assert text(data) == ["abcd ef\n"]
 
 
-@pytest.mark.parametrize("content,expected", [("BT /F1 12 Tf (alpha beta) Tj", "alpha beta"), ("Q Q BT /F1 12 Tf (gamma) Tj ET Q", "gamma"), ("BT /F1 9 Tf (a\\(b\\)\\101\\\nc) Tj ET", "a(b)Ac"), ("BT /F1 9 Tf <48 69 2> Tj ET", "Hi ")])
+@pytest.mark.parametrize("content,expected", [("BT /F1 12 Tf (no end of text) Tj", "no end of text"), ("Q Q BT /F1 12 Tf (unbalanced) Tj ET Q", "unbalanced"), ("BT /F1 9 Tf (a\\(b\\)\\101\\\nc) Tj ET", "a(b)Ac"), ("BT /F1 9 Tf <48 69 2> Tj ET", "Hi ")])
 def test_tolerated_content(content, expected):
     assert text(one_page(content)) == [expected]
 
@@ -153,6 +153,47 @@ def test_lexer():
     assert lex.object() == "word" and lex.object() is None
 
 
+def test_white_space_at_the_end_takes_no_time():
+    assert text(one_page("BT /F1 12 Tf (ab) Tj ET" + " " * 5000 + "% no more" + "\n" * 5000)) == ["ab"]
+
+
+@pytest.mark.parametrize(
+    "name,expected",
+    [("Abreveacute", "Ắ"), ("ohornacute", "ớ"), ("afii10017", "А"), ("afii10097", "я"), ("afii57664", "א"), ("alef", "א"), ("Becyrillic", "Б"), ("ahiragana", "あ"), ("asmallkatakana", "ァ"), ("akatakanahalfwidth", "ｱ"), ("kadeva", "क"), ("onedeva", "१"),
+     ("Aybarmenian", "Ա"), ("alefarabic", "ا"), ("amonospace", "ａ"), ("onecircle", "①"), ("aparen", "⒜"), ("oneinferior", "₁"), ("foursuperior", "⁴"), ("arrowdblright", "⇒"), ("iotadieresistonos", "ΐ"), ("alpha", "α"), ("universal", "∀"), ("g123", None), ("nonsense", None)],
+)
+def test_glyph_names(name, expected):
+    assert encodings.glyph_text(name) == expected
+
+
+def test_japanese_collection_without_a_map():
+    cids = encodings.adobe_cids("Japan1")
+    assert [cids.get(i) for i in (1, 61, 97, 327, 633, 634, 780, 1124, 1125, 4089, 4090, 7477, 7479, 8000)] == [" ", "¥", "\\", "｡", "\u2003", "、", "０", "я", "亜", "腕", "弌", "瑤", "─", None]
+    font = "<< /Type /Font /Subtype /Type0 /BaseFont /J /Encoding /Identity-H /DescendantFonts [9 0 R] >>"
+    system = "<< /Subtype /CIDFontType0 /CIDSystemInfo << /Registry (%s) /Ordering (%s) >> >>"
+    said = lambda *names: of(one_page("BT /F1 10 Tf <0465 0001 1F40> Tj ET", font=font, more={9: system % names}), "glyph")
+    assert [(g[2], g[10]) for g in said("Adobe", "Japan1")] == [("亜", "cidmap"), (" ", "cidmap"), ("�", "cidmap")]
+    assert {g[10] for g in said("Other", "Japan1")} == {"none"}
+
+
+def test_two_byte_codes_are_text_only_where_all_names_say_so():
+    for encoding, to, ordering, source in (("Identity-H", "/Identity-H", "Identity", "ucs2"), ("Identity-H", "/Identity-H", "Japan1", "none"), ("Identity-H", "/Other", "Identity", "none")):
+        font = f"<< /Type /Font /Subtype /Type0 /BaseFont /U /Encoding /{encoding} /ToUnicode {to} /DescendantFonts [9 0 R] >>"
+        data = one_page("BT /F1 10 Tf <0041> Tj ET", font=font, more={9: f"<< /Subtype /CIDFontType2 /CIDSystemInfo << /Registry (X) /Ordering ({ordering}) >> >>"})
+        assert of(data, "glyph")[0][10] == source
+
+
+def test_data_source_packs_files_into_tasks(spark, tmp_path, monkeypatch):
+    for i in range(7):
+        (tmp_path / f"{i}.pdf").write_bytes(one_page(f"BT /F1 12 Tf ({i}) Tj ET"))
+    monkeypatch.setattr(pdf, "TASK_FILES", 3)
+    from pyspark.sql.types import StructType
+
+    reader = pdf._Reader({"path": str(tmp_path), "relation": "page"}, StructType.fromDDL(f"path string, {pdf.RELATIONS['page']}"))
+    parts = reader.partitions()
+    assert [len(p.paths) for p in parts] == [3, 3, 1] and sum(b.num_rows for p in parts for b in reader.read(p)) == 7
+
+
 def test_filters():
     raw = bytes(range(256)) * 5 + b"aaaaaaabbbbbb"
     assert filters.ascii85(b"87cURD]i,\"Ebo80~>") == b"Hello World!" and filters.ascii85(b"z~>") == bytes(4)

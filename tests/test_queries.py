@@ -1,6 +1,6 @@
 import pytest
 
-from pagemill.plans import catalogue, catalogue_more  # noqa: F401  registers its queries
+from pagemill.plans import catalogue, catalogue_files, catalogue_more  # noqa: F401  register their queries
 from tests.oracle import agree, connect
 
 
