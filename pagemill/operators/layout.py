@@ -92,7 +92,8 @@ SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 def lines(words_: DataFrame) -> DataFrame:
     """Lines of words: text joined by blanks (but between spaceless characters), and the box around them."""
     one = F.array_sort(F.collect_list(F.struct("word_no", "s", "x", "y", "w", "h", "font", "font_size")))
-    g = words_.groupBy(*PAGE, "line_no", "column_no", "block_no").agg(one.alias("ws"))
+    # dealt by page, as blocks are then, so that they need no other shuffle
+    g = words_.repartition(*PAGE).groupBy(*PAGE, "line_no", "column_no", "block_no").agg(one.alias("ws"))
     tight = lambda a, b: a.rlike(SPACELESS + "$") & b.rlike("^" + SPACELESS)
     text = F.array_join(F.transform("ws", lambda w, i: F.when((i == 0) | tight(F.get("ws", i - 1)["s"], w["s"]), w["s"]).otherwise(F.concat(F.lit(" "), w["s"]))), "")
     first = F.get("ws", F.lit(0))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import page_label
@@ -51,17 +52,29 @@ def links(annotations: DataFrame, destinations: DataFrame, page_map: DataFrame)
     return a.join(p, (F.col("doc_id") == F.col("d")) & (F.col("obj") == F.col("o")), "left").select("doc_id", F.col("page_no").alias("from_page"), "ordinal", "uri", "to_page")
 
 
-def tree_paths(nodes: DataFrame, spark: SparkSession, sep: str = ".") -> DataFrame:
-    """(doc_id, node_id, depth, path) of the nodes (doc_id, node_id, parent_id, title) that a root leads to, 1024 levels deep at most."""
-    nodes.createOrReplaceTempView("__nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE t (doc_id, node_id, depth, path) MAX RECURSION LEVEL {DEPTH} AS (
-              SELECT doc_id, node_id, 0, title FROM __nodes WHERE parent_id IS NULL
-              UNION ALL
-              SELECT n.doc_id, n.node_id, t.depth + 1, concat(t.path, '{sep}', n.title)
-              FROM t JOIN __nodes n ON n.doc_id = t.doc_id AND n.parent_id = t.node_id)
-            SELECT * FROM t"""
-    )
+def tree_paths(nodes: DataFrame, sep: str = ".") -> DataFrame:
+    """(doc_id, node_id, depth, path) of the nodes (doc_id, node_id, parent_id, title) that a root leads to, DEPTH levels deep at most.
+
+    A document's tree is walked in one task, as it was read from one file; documents don't wait for each other.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+
+    def walk(table: pa.Table) -> pa.Table:
+        below: dict = {}
+        for node, parent, title in zip(*(table.column(c).to_pylist() for c in ("node_id", "parent_id", "title")), strict=True):
+            below.setdefault(parent, []).append((node, title))
+        found, level = [], [(node, title) for node, title in below.get(None, [])]
+        for depth in range(DEPTH + 1):
+            found += [(node, depth, path) for node, path in level]
+            level = [(node, None if path is None or title is None else f"{path}{sep}{title}") for up, path in level if up is not None for node, title in below.get(up, [])]
+            if not level:
+                break
+        ids, depths, paths = zip(*found, strict=True) if found else ((), (), ())
+        doc = table.column("doc_id")
+        return pa.table({"doc_id": pa.array([doc[0].as_py()] * len(ids), doc.type), "node_id": pa.array(ids, table.column("node_id").type), "depth": pa.array(depths, pa.int32()), "path": pa.array(paths, pa.string())})
+
+    need = nodes.select("doc_id", "node_id", "parent_id", "title")
+    return need.groupBy("doc_id").applyInArrow(walk, f"doc_id {kinds['doc_id']}, node_id {kinds['node_id']}, depth int, path string")
 
 
 def attachment_names(files: DataFrame) -> DataFrame:

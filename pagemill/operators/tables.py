@@ -16,6 +16,8 @@ SNAP, LEAST_BEFORE, LEAST_AFTER = 3.0, 1.0, 3.0
 LINE_STEP, WELD_GAP = 5.0, 4.0
 GUTTER, GUTTER_SHARE, NESTED = 16.0, 0.25, 3.0
 PHANTOM = 0.6
+#: Points of a strip: edges and words meet cells only within strips that both touch.
+STRIP = 64.0
 PAGE = ("doc_id", "page_no")
 
 
@@ -50,22 +52,35 @@ def joined(e: DataFrame) -> DataFrame:
     return out.where(F.col("hi") - F.col("lo") >= LEAST_AFTER)
 
 
+def _strip(at: Column) -> Column:
+    return F.floor(at / STRIP)
+
+
+def _strips(lo: Column, hi: Column) -> Column:
+    return F.explode(F.sequence(_strip(lo), _strip(F.greatest(lo, hi))))
+
+
 def crossings(e: DataFrame, by: tuple[str, ...] = PAGE) -> DataFrame:
-    """(by..., x, top, v_at, h_at): where a vertical and a horizontal edge meet within SNAP."""
-    v = e.where("orient = 'v'").select(*by, F.col("at").alias("x"), F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"))
-    h = e.where("orient = 'h'").select(*by, F.col("at").alias("top"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"))
-    met = v.join(h, [*by]).where((F.col("top") >= F.col("v_lo") - SNAP) & (F.col("top") <= F.col("v_hi") + SNAP) & (F.col("x") >= F.col("h_lo") - SNAP) & (F.col("x") <= F.col("h_hi") + SNAP))
+    """(by..., x, top, v_at, h_at): where a vertical and a horizontal edge meet within SNAP.
+
+    A horizontal edge stands in one strip of heights, and a vertical one in each that it reaches, so edges are compared within a strip only.
+    """
+    v = e.where("orient = 'v'").select(*by, F.col("at").alias("x"), F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi"), _strips(F.col("lo") - SNAP, F.col("hi") + SNAP).alias("strip"))
+    h = e.where("orient = 'h'").select(*by, F.col("at").alias("top"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"), _strip(F.col("at")).alias("strip"))
+    met = v.join(h, [*by, "strip"]).where((F.col("top") >= F.col("v_lo") - SNAP) & (F.col("top") <= F.col("v_hi") + SNAP) & (F.col("x") >= F.col("h_lo") - SNAP) & (F.col("x") <= F.col("h_hi") + SNAP))
     return met.select(*by, F.round("x", 2).alias("x"), F.round("top", 2).alias("top"), "v_lo", "v_hi", "h_lo", "h_hi")
 
 
 def cells_of_words(words: DataFrame, cells: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """``words`` with the first cell (least cell_no) that holds their centre, edges included; words outside all cells go."""
+    """``words`` with the first cell (least cell_no) that holds their centre, edges included; words outside all cells go.
+
+    A centre stands in one strip, and a cell in each that it reaches; of the cells that hold a centre, an aggregate keeps the first.
+    """
     cx, cy = F.col("x0") + (F.col("x1") - F.col("x0")) / 2, F.col("top") + (F.col("bottom") - F.col("top")) / 2
-    w = words.withColumns({"cx": cx, "cy": cy})
-    c = cells.select(*by, "cell_no", F.col("x0").alias("c_x0"), F.col("x1").alias("c_x1"), F.col("top").alias("c_top"), F.col("bottom").alias("c_bottom"))
-    met = w.join(c, [*by]).where("cx between c_x0 and c_x1 and cy between c_top and c_bottom")
-    best = Window.partitionBy(*by, "word_id").orderBy("cell_no")
-    return met.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r", "cx", "cy", "c_x0", "c_x1", "c_top", "c_bottom")
+    w = words.select(F.struct(*words.columns).alias("word"), *by, "word_id", cx.alias("cx"), cy.alias("cy"), _strip(cx).alias("strip"))
+    c = cells.select(*by, "cell_no", F.col("x0").alias("c_x0"), F.col("x1").alias("c_x1"), F.col("top").alias("c_top"), F.col("bottom").alias("c_bottom"), _strips(F.col("x0"), F.col("x1")).alias("strip"))
+    met = w.join(c, [*by, "strip"]).where("cx between c_x0 and c_x1 and cy between c_top and c_bottom")
+    return met.groupBy(*by, "word_id").agg(F.min(F.struct("cell_no", "word")).alias("first")).select("first.word.*", "first.cell_no")
 
 
 def nearest_left(misses: DataFrame, placed: DataFrame, by: list[str], at: str, tie: str) -> DataFrame:

@@ -194,7 +194,8 @@ def _routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = F.col("s")
     src = F.when(s.rlike("[0-9]"), "cidmap").when(s.rlike("[^ -~]"), "fallback").when(s.rlike("[A-Z]"), "none").otherwise("tounicode")
     pages = g.groupBy("doc_id", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "s"))), lambda e: e["s"]), " ").alias("text"), F.count_if(s.contains("|")).alias("n_images"), F.when(F.bool_or(s.contains("@")), "bad operand").alias("text_error"), F.lit(False).alias("null_slot")
+        # a token that isn't blank, if there is one, is all of a text that the routing looks at
+        F.max("s").alias("text"), F.count_if(s.contains("|")).alias("n_images"), F.when(F.bool_or(s.contains("@")), "bad operand").alias("text_error"), F.lit(False).alias("null_slot")
     )
     return pages, g.withColumns({"enc_source": src, "s": F.translate("s", "é", "�")})
 

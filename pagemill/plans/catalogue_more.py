@@ -198,11 +198,11 @@ t AS (SELECT doc_id, node_id, 0 AS depth, title AS path FROM m WHERE parent_id I
 SELECT doc_id, node_id, depth, path FROM t"""
 )
 def q_outline_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-5, 6, 9: paths of a tree of nodes, by a recursive query; a brand's parts are a heap."""
+    """STR-5, 6, 9: paths of a tree of nodes; a brand's parts are a heap."""
     n = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("node_id"), F.col("p_name").alias("title"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("r"))
     up = n.select(F.col("doc_id").alias("d"), F.col("node_id").alias("parent_id"), F.col("r").alias("up"))
     nodes = n.join(up, (F.col("doc_id") == F.col("d")) & (F.floor(F.col("r") / 2) == F.col("up")), "left").select("doc_id", "node_id", "parent_id", "title")
-    return structure.tree_paths(nodes, spark)
+    return structure.tree_paths(nodes)
 
 
 # tables

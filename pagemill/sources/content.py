@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pagemill.sources import fonts
 from pagemill.sources.filters import FilterError, names
@@ -85,13 +86,15 @@ class Interpreter:
         height, turn = math.hypot(c, d), math.degrees(math.atan2(_, size))
         # along a run only the place changes: by the advances so far, in the direction of writing
         dx, dy = (m[2], m[3]) if font.vertical else (m[0], m[1])
-        far, add, name = 0.0, self.out.glyphs.append, font.name
-        for code, t, kind, w in run:
-            add((t, name, size, x + far * dx, y + far * dy, w / 1000 * size, height, turn, kind))
-            if font.vertical:
-                far += s.char - s.size
-            else:
-                far += (w / 1000 * s.size + s.char + (s.word if code == b" " else 0.0)) * s.scale
+        if font.vertical:
+            steps = [s.char - s.size] * len(run)
+        elif s.word:
+            steps = [(w / 1000 * s.size + s.char + (s.word if code == b" " else 0.0)) * s.scale for code, _, _, w in run]
+        else:
+            steps = [(g[3] / 1000 * s.size + s.char) * s.scale for g in run]
+        name = font.name
+        self.out.glyphs += [(t, name, size, x + far * dx, y + far * dy, w / 1000 * size, height, turn, kind) for (_, t, kind, w), far in zip(run, accumulate(steps, initial=0.0), strict=False)]
+        far = sum(steps)
         self.tm = times((1, 0, 0, 1, 0, far) if font.vertical else (1, 0, 0, 1, far, 0), self.tm)
 
     def separator(self, text: str) -> None:

@@ -8,7 +8,7 @@ fault, so that no file fails a job.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -109,27 +109,55 @@ def parse(files: DataFrame, relation: str, passwords: tuple[str, ...] = ()) -> D
     Whatever isn't a PDF by its first bytes is told apart before any content reaches Python.
     """
     kind = StructType.fromDDL(f"path string, {RELATIONS[relation]}")
-    columns = kind.fieldNames()
     schema = _arrow(kind)
-    wanted = frozenset([relation])
 
     def run(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                for r in _safe(data.as_py() or b"", passwords, wanted):
-                    out.append((path, *r[1:]))
-                    if len(out) >= BATCH:
-                        yield _batch(out, schema)
-                        out = []
-            yield _batch(out, schema)
+            paths, contents = batch.column("path").to_pylist(), batch.column("content")
+            yield from _batches(((path, data.as_py() or b"") for path, data in zip(paths, contents, strict=True)), passwords, relation, schema)
 
     return files.select("path", "content").mapInArrow(run, kind)
 
 
-def _batch(rows_: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows_, strict=True) if rows_ else [()] * len(schema)
-    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+#: Relations whose rows are many a page, and which of a page's lists holds them.
+DRAWN = {"glyph": "glyphs", "rect": "rects", "stroke": "strokes", "image_draw": "images", "show_string": "shown"}
+
+
+def _drawn(data: bytes, passwords: tuple[str, ...], relation: str) -> Iterator[tuple[int, list[tuple]]]:
+    """(page_no, rows) of a relation that a page draws; a file that can't be read has none."""
+    try:
+        doc = Document(data, passwords)
+        for n, page in doc.pages():
+            if page is not None:
+                yield n, getattr(read_page(doc, page, geometry=relation in ("glyph", "show_string")), DRAWN[relation])
+    except Exception:  # noqa: BLE001  the document's row has the error
+        return
+
+
+def _batches(files_: Iterable[tuple[str, bytes]], passwords: tuple[str, ...], relation: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A relation of files (path, content) as record batches, filled column by column."""
+    columns: list[list] = [[] for _ in schema]
+
+    def made() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for c in columns:
+            c.clear()
+        return out
+
+    for path, data in files_:
+        if relation in DRAWN:
+            for n, found in _drawn(data, passwords, relation):
+                for c, values in zip(columns, ([path] * len(found), [n] * len(found), range(len(found)), *zip(*found, strict=True)), strict=False):
+                    c.extend(values)
+                if len(columns[0]) >= BATCH:
+                    yield made()
+        else:
+            for r in _safe(data, passwords, frozenset([relation])):
+                for c, v in zip(columns, (path, *r[1:]), strict=True):
+                    c.append(v)
+                if len(columns[0]) >= BATCH:
+                    yield made()
+    yield made()
 
 
 def _arrow(kind: StructType) -> pa.Schema:
@@ -196,16 +224,13 @@ class _Reader(DataSourceReader):
         from pyarrow import fs as pafs
 
         found = pafs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("/") else pafs.LocalFileSystem()
-        kind, out = _arrow(self.schema), []
-        for path in partition.paths:
-            with found.open_input_stream(path) as f:
-                data = f.read()
-            for r in _safe(data, self.passwords, frozenset([self.relation])):
-                out.append((path, *r[1:]))
-                if len(out) >= BATCH:
-                    yield _batch(out, kind)
-                    out = []
-        yield _batch(out, kind)
+
+        def opened():
+            for path in partition.paths:
+                with found.open_input_stream(path) as f:
+                    yield path, f.read()
+
+        yield from _batches(opened(), self.passwords, self.relation, _arrow(self.schema))
 
 
 def register(spark: SparkSession) -> None:
