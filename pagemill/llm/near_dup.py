@@ -171,12 +171,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("told"))
     prof = stash.put("prof", docs.mapInArrow(_profile(k), "doc_id long, told long, node long, n_shingles long, regs binary"))
     named = prof.where("n_shingles > 0 and doc_id is not null")
-    classes = stash.put("class", named.groupBy("node").agg(F.min(F.struct("doc_id", "told")).alias("of"), F.first("regs").alias("regs")).select("node", F.col("of.doc_id").alias("least"), F.col("of.told").alias("told"), "regs"))
+    classes = stash.put("class", named.groupBy("node").agg(F.min(F.struct("doc_id", "told")).alias("of"), F.first("regs").alias("regs"), F.count("*").alias("n")).select("node", F.col("of.doc_id").alias("least"), F.col("of.told").alias("told"), "regs", "n"))
     bands = stash.put("bands", classes.select("node", "regs").mapInArrow(_band_rows, "key long, node long"))
     met = stash.put("shared", bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     bands2 = stash.put("met", join_counted(bands, met, "key", ["node"]))
     stash.drop("bands", "shared")
-    some = classes.join(bands2.select("node").distinct(), "node", "left_semi").withColumnRenamed("least", "doc_id")
+    some = classes.join(bands2.select("node").distinct(), "node", "left_semi").drop("n").withColumnRenamed("least", "doc_id")
     full = docs.where("doc_id is not null").join(some, ["doc_id", "told"]).mapInArrow(_full(k), "node long, regs binary, full binary")
     if not named.groupBy("doc_id", "told").count().where("count > 1").isEmpty():
         full = full.dropDuplicates(["node"])  # of rows that repeat a document, one is enough
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             # a bucket that one component fills stays so
             member = bands2 = _unsettled(bands2, roots, stash)
             if member.isEmpty():
-                return _labelled(prof, classes, roots)
+                return _labelled(prof, classes, roots, stash)
         else:
             member = bands2.withColumn("root", F.col("node"))
         pivot = stash.put("pivot", member.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("p"), F.count("*").alias("n")))
@@ -199,10 +199,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         roots = _merged(roots, links, stash)
     member = _unsettled(bands2, roots, stash)
     if member.isEmpty():
-        return _labelled(prof, classes, roots)
+        return _labelled(prof, classes, roots, stash)
     dealt = _dealt(member, stash).join(full, "node")
     links = dealt.groupBy("key", "i", "j").applyInArrow(_block(percent), "a long, b long")
-    return _labelled(prof, classes, _merged(roots, links, stash))
+    return _labelled(prof, classes, _merged(roots, links, stash), stash)
 
 
 def _merged(roots: DataFrame, links: DataFrame, stash: Stash) -> DataFrame:
@@ -252,15 +252,18 @@ def _unsettled(bands: DataFrame, roots: DataFrame, stash: Stash) -> DataFrame:
     return out
 
 
-def _labelled(prof: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    placed = classes.select("node", "least", "told").join(roots, "node", "left").select("node", "least", "told", F.coalesce("root", "node").alias("root"))
-    best = placed.groupBy("root").agg(F.min(F.struct("least", "told")).alias("best"))
-    placed = placed.join(best, "root").select("node", "best")
-    out = prof.select("doc_id", "told", "node", "n_shingles").join(placed, "node", "left")
+def _labelled(prof: DataFrame, classes: DataFrame, roots: DataFrame, stash: Stash) -> DataFrame:
+    placed = stash.put("placed", classes.select("node", "least", "told", "n").join(roots, "node", "left").select("node", "least", "told", "n", F.coalesce("root", "node").alias("root")))
+    best = stash.put("best", placed.groupBy("root").agg(F.min(F.struct("least", "told")).alias("best"), F.count("*").alias("n")))
+    placed = stash.put("settled", join_counted(placed, best, "root", ["node"]).select("node", "best", "n"))
+    stash.drop("placed", "best")
+    rows = prof.select("doc_id", "told", "node", "n_shingles")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("best.least"))
-    stays = alone | ((F.col("doc_id") == F.col("best.least")) & (F.col("told") == F.col("best.told")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "told", stays.alias("stays"))
+    # copies of one text are one class, however many there are
+    linked = join_counted(rows.where(~alone), placed, "node", ["doc_id", "told"])
+    stays = (F.col("doc_id") == F.col("best.least")) & (F.col("told") == F.col("best.told"))
+    linked = linked.select("doc_id", "n_shingles", F.col("best.least").alias("component_id"), (F.col("doc_id") == F.col("best.least")).alias("kept"), "told", stays.alias("stays"))
+    return linked.unionByName(rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "told", F.lit(True).alias("stays")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
