@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.skew import running
 from pagemill.llm.storage import Stash
 
 #: A document's place in its source's order: 60 bits, refined LEVELS times by LEVEL bits.
@@ -24,27 +25,32 @@ def _place(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.conv(F.substring(key, 1, BITS // 4), 16, 10).cast("long")
 
 
-def _targets(sizes: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+def _targets(sizes: DataFrame, weights: dict[str | None, float] | None, stash: Stash) -> DataFrame:
     """(source, source_size, target): targets by weight, none above REPEATS times its source's size.
 
     Sources are filled in the order in which a rising level per unit of weight meets their limits:
     those before the first that the level leaves below its limit stop there, and the rest share
-    what remains by weight, which is where resharing the excess again and again ends.
+    what remains by weight, which is where resharing the excess again and again ends. There may be very
+    many sources: ranks and sums are running sums over ranges of them.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = (rank - 1) % 3 + 1
-    if weights is not None:
+    if weights is None:
+        s = running(stash.put("sizes", sizes), [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, stash, "ranks")
+        s = s.withColumn("w", (F.col("rank") % 3 + 1).cast("double")).drop("rank")
+    else:
         weight = F.lit(0.0)
         for name, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    s = sizes.withColumn("w", weight.cast("double")).withColumn("most", (F.col("source_size") * REPEATS).cast("double"))
-    by = Window.orderBy(F.when(F.col("w") > 0, F.col("most") / F.nullif("w", F.lit(0.0))).asc_nulls_last(), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(1))
-    s = s.withColumns({"total": F.sum("source_size").over(everything).cast("double"), "n": F.row_number().over(by), "full": F.coalesce(F.sum("most").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "left": F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))})
-    s = s.withColumn("level", (F.col("total") - F.col("full")) / F.nullif("left", F.lit(0.0)))
-    s = s.withColumn("stops", F.coalesce(F.col("level") * F.col("w") > F.col("most"), F.lit(True)))
-    s = s.withColumn("open", F.min(F.when(~F.col("stops"), F.struct("n", "level"))).over(everything))
-    return s.select("source", "source_size", F.when(F.col("w") == 0, F.lit(0.0)).when(F.col("n") < F.coalesce(F.col("open.n"), F.col("n") + 1), F.col("most")).otherwise(F.col("open.level") * F.col("w")).alias("target"))
+        s = sizes.withColumn("w", weight)
+    s = s.withColumn("most", (F.col("source_size") * REPEATS).cast("double"))
+    by = [F.when(F.col("w") > 0, F.col("most") / F.nullif("w", F.lit(0.0))).asc_nulls_last(), F.col("source").asc_nulls_last()]
+    s = stash.put("levels", running(s, by, {"n": F.lit(1), "full": F.col("most"), "weighed": F.col("w")}, stash, "filled"))
+    every = s.agg(F.sum("source_size").cast("double").alias("total"), F.sum("w").alias("w")).first()
+    level = (F.lit(every.total) - F.col("full")) / F.nullif(F.lit(every.w) - F.col("weighed"), F.lit(0.0))
+    stops = F.coalesce(level * F.col("w") > F.col("most"), F.lit(True))
+    first = s.where(~stops).agg(F.min(F.struct("n", level.alias("level"))).alias("open")).first().open
+    # behind the first that stays below its limit, all share its level
+    reached = F.col("n") < F.lit(first.n) if first else F.lit(True)
+    return s.select("source", "source_size", F.when(F.col("w") == 0, F.lit(0.0)).when(reached, F.col("most")).otherwise(F.lit(first.level if first else 0.0) * F.col("w")).alias("target"))
 
 
 def thresholds(sized: DataFrame, stash: Stash, weights: dict[str | None, float] | None = None) -> DataFrame:
@@ -54,7 +60,7 @@ def thresholds(sized: DataFrame, stash: Stash, weights: dict[str | None, float]
     level sums sizes by source and bucket of places, keeps the bucket in which the budget ends, and
     looks into that bucket alone at the next level; in the last one the nearer end is taken.
     """
-    plan = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights).withColumnRenamed("source", "of")
+    plan = _targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, stash).withColumnRenamed("source", "of")
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif("source_size", F.lit(0)))).otherwise(F.lit(0)).cast("long"))
     plan = stash.put("plan", plan.withColumn("budget", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")).withColumn("below", F.lit(0).cast("long")))
     small = plan.count() <= SOURCES

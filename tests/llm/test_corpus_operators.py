@@ -502,6 +502,20 @@ def test_mix(spark, odd, none):
     assert mixing.mix(odd).count() == len(awkward()) and mixing.mix(none).count() == 0
 
 
+def test_running_sums_over_ranges(spark):
+    from pagemill.llm.storage import Stash
+
+    rng = random.Random(4)
+    rows = [(f"k{i:04d}" if i else None, rng.randrange(50)) for i in rng.sample(range(3000), 3000)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(6)
+    got = skew.running(df, [mixing.F.col("k").asc_nulls_last()], {"n": mixing.F.lit(1), "s": mixing.F.col("v")}, Stash(spark, "test"), "x").collect()
+    total, want = 0, {}
+    for n, (k, v) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))):
+        want[k] = (v, n, total)
+        total += v
+    assert {r.k: (r.v, r.n, r.s) for r in got} == want
+
+
 def test_sql_of_decontamination_and_mix(spark, sf):
     from tests.oracle import agree, connect
 
