@@ -69,6 +69,7 @@ class Interpreter:
         self.straight: list[bool] = []
         self.loaded: dict[int, fonts.Font] = {}
         self.plain: list[str] = []
+        self.aslant = False
 
     # text
 
@@ -84,6 +85,7 @@ class Interpreter:
         m = times(self.tm, s.ctm)
         size, _, c, d, x, y = times((s.size * s.scale, 0, 0, s.size, 0, s.rise), m)
         height, turn = math.hypot(c, d), math.degrees(math.atan2(_, size))
+        self.aslant |= abs(turn) > 1 and bool(text.strip())
         # along a run only the place changes: by the advances so far, in the direction of writing
         dx, dy = (m[2], m[3]) if font.vertical else (m[0], m[1])
         if font.vertical:
@@ -296,6 +298,6 @@ def read_page(doc: Document, page: dict, geometry: bool = True) -> Page:
     except (PdfError, FilterError, ValueError, RecursionError, OverflowError) as e:
         out.error = str(e) or type(e).__name__
     out.warnings += [w[1:] for w in doc.warnings[before:]]
-    if any(g[7] and abs(g[7]) > 1 and g[0].strip() for g in out.glyphs):
+    if run.aslant:
         out.warnings.append(("rotated_text", "text is not set upright", ""))
     return out
