@@ -22,6 +22,7 @@ BODY_SHARE, BODY_ROWS, ROW_GAP = 0.6, 3, 4.0
 HEADER_COLUMNS, HEADER_BANDS = 3, 2
 COMB_COLUMNS, COMB_ROWS, COMB_STRADDLE, COMB_HALF = 2, 2, 0.5, 6.0
 GARBLED, GARBLED_SHARE = 3, 0.3
+COLUMN, RECORDS = 1.0, 4
 # Families of fonts that set Indic scripts by Latin codes.
 LEGACY_FONTS = ("krutidev", "kruti dev", "devlys", "chanakya", "walkman")
 
@@ -230,6 +231,74 @@ def banded_rows(cells: list[Cell], rects) -> list[Cell]:
     return out
 
 
+def filled_body(cells: list[Cell], words: list[Word], rects, rules: list[Edge]) -> list[Cell]:
+    """The body of a table that a fill for each cell makes, on a page without strokes.
+
+    The body reaches over the rows of fills in two columns or more. Banners above and below go, and rows without words at
+    its foot; where none lies outside, the table stays as it is. A header with sides that no row below has is one cell. Cells
+    are cut where a rule that other cells have for a side parts their words, and between rows of figures that they collapse.
+    """
+    top, foot = min(c.top for c in cells), max(c.bottom for c in cells)
+    left, right = min(c.x0 for c in cells), max(c.x1 for c in cells)
+    fills = [(x0, -y1, -y0) for x0, y0, x1, y1 in rects if x0 >= left - SNAP and x1 <= right + SNAP and -y1 >= top - SNAP and -y0 <= foot + SNAP]
+    lines = clusters([f[1] for f in fills], SNAP)
+    wide = [at for at in lines if len(clusters([f[0] for f in fills if abs(f[1] - at) <= SNAP], COLUMN)) >= 2]
+    if not wide:
+        return cells
+    start, end = min(wide), max(f[2] for f in fills if any(abs(f[1] - at) <= SNAP for at in wide))
+    body = [c for c in cells if start <= (c.top + c.bottom) / 2 <= end]
+    if len(body) == len(cells) or len(clusters([c.x0 for c in body], COLUMN)) < 2:
+        return cells
+    while len(last := [c for c in body if abs(c.top - max(b.top for b in body)) <= SNAP]) < len(body) and not any(_holds(c, w) for c in last for w in words):
+        body = [c for c in body if c not in last]
+    return _tall_cut(_wide_cut(_one_header(body), words, rules), words)
+
+
+def _one_header(cells: list[Cell]) -> list[Cell]:
+    """Cells with the first row as one cell, if it has a side within that no other row has."""
+    head = [c for c in cells if abs(c.top - min(b.top for b in cells)) <= SNAP]
+    rest = [c for c in cells if c not in head]
+    sides = [x for c in rest for x in (c.x0, c.x1)]
+    strange = any(all(abs(c.x0 - x) > SNAP for x in sides) for c in head if c.x0 > min(h.x0 for h in head))
+    if not rest or not strange:
+        return cells
+    return [Cell(min(c.x0 for c in head), min(c.top for c in head), max(c.x1 for c in head), max(c.bottom for c in head)), *rest]
+
+
+def _wide_cut(cells: list[Cell], words: list[Word], rules: list[Edge]) -> list[Cell]:
+    """Cells cut at rules that are other cells' sides, have words on either side, and cross no word."""
+    out = []
+    for c in cells:
+        own = [w for w in words if _holds(c, w)]
+        sides = [x for o in cells if o is not c for x in (o.x0, o.x1)]
+        at = [c.x0]
+        for x in sorted({r.at for r in rules if c.x0 + SNAP < r.at < c.x1 - SNAP}):
+            parted = any(w.right <= x + COMB_STRADDLE for w in own) and any(w.x >= x - COMB_STRADDLE for w in own)
+            crossed = any(w.x < x - COMB_STRADDLE and w.right > x + COMB_STRADDLE for w in own)
+            if parted and not crossed and any(abs(x - s) <= SNAP for s in sides):
+                at.append(x)
+        out += [Cell(a, c.top, b, c.bottom) for a, b in zip(at, [*at[1:], c.x1], strict=True)]
+    return out
+
+
+def _tall_cut(cells: list[Cell], words: list[Word]) -> list[Cell]:
+    """Cells cut between the rows of figures that they hold, if these are RECORDS at least and reach over columns."""
+    columns = clusters([c.x0 for c in cells], COLUMN)
+    inside = [w for w in words if any(_holds(c, w) for c in cells)]
+    records = []
+    for band in clusters([middle(w) for w in inside], ROW_GAP):
+        row = [w for w in inside if abs(middle(w) - band) <= ROW_GAP]
+        held = {max((i for i, x in enumerate(columns) if x <= w.x + w.w / 2), default=0) for w in row}
+        if len(held) >= 2 and any(re.search(r"\d", w.s) for w in row):
+            records.append(band)
+    out = []
+    for c in cells:
+        own = [r for r in records if c.top < r < c.bottom]
+        at = [c.top, *((a + b) / 2 for a, b in zip(own, own[1:], strict=False)), c.bottom] if len(own) >= RECORDS else [c.top, c.bottom]
+        out += [Cell(c.x0, a, c.x1, b, c.open) for a, b in zip(at, at[1:], strict=False)]
+    return out
+
+
 def header_columns(cells: list[Cell], words: list[Word]) -> list[Cell]:
     """Cells under a header of three columns or more whose body is ruled in the label column only.
 
@@ -467,6 +536,8 @@ def page_tables(words: list[Word], strokes, rects, left: float = float("-inf"),
         cells = found + open_columns(found, words, flat, left, right)
         cells = split_rows(cells, words, flat)
         cells = banded_rows(cells, rects)
+        if not strokes:
+            cells = filled_body(cells, words, rects, rules)
         cells = cells + header_columns(cells, words)
         cells = cells + comb_body(cells, words, edges, [o for o in closed if o is not found])
         grid = grid_of(cells, words, rules)

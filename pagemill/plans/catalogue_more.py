@@ -312,12 +312,8 @@ def q_debug_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.page_json(layout.words(_glyphs(spark, sf_dir)), 792.0)
 
 
-@query(
-    """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS row, l_returnflag, l_linestatus, l_partkey FROM lineitem)
-SELECT l_orderkey AS doc_id, 0 AS table_no, row::INT AS row, unnest([0, 1, 2]) AS col, unnest([l_returnflag, l_linestatus || ' ok', l_partkey::VARCHAR]) AS text FROM r"""
-)
-def q_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TAB-1 to 7, GRD-1 to 5, 10: orders set as ruled tables of three columns, and read back from rules and words."""
+def _order_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders' lines as rows of words in three columns, and the number of each order's last row."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page_no"), (F.row_number().over(order) - 1).alias("r"), "l_returnflag", "l_linestatus", "l_partkey")
     y = lambda r: (F.lit(700) - r * 20).cast("double")
@@ -325,6 +321,17 @@ def q_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.array(word(0, 5.0, F.col("l_returnflag")), word(1, 105.0, F.col("l_linestatus")), word(2, 130.0, F.lit("ok")), word(3, 205.0, F.col("l_partkey").cast("string")))
     words = li.select("doc_id", "page_no", F.col("r").alias("band_no"), F.inline(cells), y(F.col("r") + 0.75).alias("y"), F.lit(10.0).alias("h"), F.lit("F").alias("font"), F.lit(10.0).alias("font_size"))
     n = li.groupBy("doc_id", "page_no").agg(F.max("r").alias("n"))
+    return words, n
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS row, l_returnflag, l_linestatus, l_partkey FROM lineitem)
+SELECT l_orderkey AS doc_id, 0 AS table_no, row::INT AS row, unnest([0, 1, 2]) AS col, unnest([l_returnflag, l_linestatus || ' ok', l_partkey::VARCHAR]) AS text FROM r"""
+)
+def q_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TAB-1 to 7, GRD-1 to 5, 10: orders set as ruled tables of three columns, and read back from rules and words."""
+    words, n = _order_words(spark, sf_dir)
+    y = lambda r: (F.lit(700) - r * 20).cast("double")
     across = F.transform(F.sequence(F.lit(0), F.col("n") + 1), lambda i: F.struct(F.lit(0.0).alias("x0"), y(i).alias("y0"), F.lit(300.0).alias("x1"), y(i).alias("y1")))
     down = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.struct((j * 100).cast("double").alias("x0"), F.lit(700.0).alias("y0"), (j * 100).cast("double").alias("x1"), y(F.col("n") + 1).alias("y1")))
     strokes = n.select("doc_id", "page_no", F.inline(F.concat(across, down)))
@@ -332,6 +339,24 @@ def q_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table_cells(tables.tables(words, strokes, rects)).select("doc_id", "table_no", "row", "col", "text")
 
 
+@query(
+    """WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS row, l_returnflag, l_linestatus, l_partkey FROM lineitem)
+SELECT l_orderkey AS doc_id, 0 AS table_no, row::INT AS row, unnest([0, 1, 2]) AS col, unnest([l_returnflag, l_linestatus || ' ok', l_partkey::VARCHAR]) AS text FROM r"""
+)
+def q_filled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TAB-1, 5 to 7, 11: orders as a fill for each cell, without a stroke, below a title's fill and above a note's, which are no rows."""
+    words, n = _order_words(spark, sf_dir)
+    title = n.select("doc_id", "page_no", F.lit(-1).cast("long").alias("band_no"), F.lit(0).alias("word_no"), F.lit(5.0).alias("x"), F.lit("Title").alias("s"), F.lit(30.0).alias("w"), F.lit(705.0).alias("y"), F.lit(10.0).alias("h"), F.lit("F").alias("font"), F.lit(10.0).alias("font_size"))
+    words = words.withColumn("band_no", F.col("band_no").cast("long")).unionByName(title)
+    box = lambda x0, y0, x1, y1: F.struct(x0.cast("double").alias("min_x"), y0.cast("double").alias("min_y"), x1.cast("double").alias("max_x"), y1.cast("double").alias("max_y"))
+    low = lambda i: F.lit(680) - i * 20
+    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.array(*[box(F.lit(100 * j), low(i), F.lit(100 * j + 100), low(i) + 20) for j in range(3)])))
+    banners = F.array(box(F.lit(0), F.lit(700), F.lit(300), F.lit(720)), box(F.lit(0), low(F.col("n") + 1), F.lit(300), low(F.col("n"))))
+    rects = n.select("doc_id", "page_no", F.inline(F.concat(cells, banners)))
+    strokes = rects.limit(0).select("doc_id", "page_no", *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return tables.table_cells(tables.tables(words, strokes, rects)).select("doc_id", "table_no", "row", "col", "text")
+
+
 # files
 
 _LINES_OF_PAGES = """l AS (SELECT doc_id, generate_subscripts(a, 1) - 1 AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))"""

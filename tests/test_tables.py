@@ -128,3 +128,41 @@ def test_a_comb_of_rules_under_a_header():
     words = [word(f"h{j}", 5 + 60 * j, 685) for j in range(3)] + [word(f"{i}{j}", 5 + 60 * j, 655 - 20 * i) for i in range(2) for j in range(3)]
     assert page_tables(words, strokes, [])[0].grid == [["h0", "h1", "h2"], ["00", "01", "02"], ["10", "11", "12"]]
     assert len(page_tables([*words, word("astride", 50, 620)], strokes, [])[0].grid) == 1
+
+
+def fills(rows, foot_banner=True):
+    """A fill for each cell of rows (top, bottom, sides), below a banner."""
+    out = [(0, 700, 300, 720)] + [(a, b, c, t) for t, b, sides in rows for a, c in zip(sides, sides[1:])]
+    low = min(b for _, b, _ in rows)
+    return out + [(0, low - 20, 300, low)] * foot_banner
+
+
+def test_fills_without_strokes_give_their_body_only():
+    sides = [0, 100, 200, 300]
+    rects = fills([(700 - 20 * i, 680 - 20 * i, sides) for i in range(4)])
+    words = [word("Title", 5, 705)] + [word(f"{i}{j}", sides[j] + 5, 685 - 20 * i) for i in range(3) for j in range(3)]
+    (t,) = page_tables(words, [], rects)
+    assert t.grid == [[f"{i}{j}" for j in range(3)] for i in range(3)]  # neither banner nor the empty row at the foot
+    (t,) = page_tables(words, [(500, 500, 560, 500)], rects)
+    assert t.grid[0][0] == "Title"
+    (t,) = page_tables(words, [], rects[1:-1])  # nothing lies outside: the empty row stays
+    assert len(t.grid) == 4
+
+
+def test_collapsed_rows_of_figures_are_cut():
+    sides = [0, 100, 200, 300]
+    rects = fills([(700, 600, sides)])
+    figures = [word(f"{i}{j}", sides[j] + 5, 685 - 20 * i) for i in range(5) for j in range(3)]
+    (t,) = page_tables([word("Title", 5, 705), *figures], [], rects)
+    assert t.grid == [[f"{i}{j}" for j in range(3)] for i in range(5)]
+    prose = [word("ab", sides[j] + 5, 685 - 20 * i) for i in range(5) for j in range(3)]
+    (t,) = page_tables([word("Title", 5, 705), *prose], [], rects)
+    assert len(t.grid) == 1
+
+
+def test_a_header_with_sides_of_its_own_is_one_cell():
+    rects = fills([(700, 680, [0, 150, 300]), (680, 660, [0, 100, 200, 300]), (660, 640, [0, 100, 200, 300])], foot_banner=False)
+    words = [word("Title", 5, 705), word("left", 5, 685), word("right", 160, 685)] + [word(f"{i}{j}", 100 * j + 5, 665 - 20 * i) for i in range(2) for j in range(3)]
+    (t,) = page_tables(words, [], rects)
+    assert t.grid[-2:] == [["00", "01", "02"], ["10", "11", "12"]] and len(t.grid) == 3 and len(t.grid[0]) == 3
+    assert [x for x in t.grid[0] if x] in (["left right"], ["left", "right"])
