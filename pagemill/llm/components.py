@@ -30,11 +30,12 @@ def components(edges: DataFrame, stash: Stash, most_rounds: int = 60) -> DataFra
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stash.put("low", both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
         large = join_counted(both.where("b > a"), low, "a", ["b"]).select(F.col("m").alias("a"), "b").where("a < b")
+        large = stash.put("large", large.distinct())
         # small-star: each node links its smaller neighbours, and itself, with the least of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
+        low = stash.put("low", large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n")))
+        small = join_counted(large, low, "b", ["a"]).select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
         done = stash.put("cc2", small)
-        stash.drop("cc", "low")
+        stash.drop("cc", "low", "large")
         stash.paths["cc"] = stash.paths.pop("cc2")
         e = done
     raise RuntimeError("components did not settle")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.storage import Stash
 
 #: Keys that hold more than one in COMMON of all rows are joined by a broadcast; there are fewer than COMMON of them.
-COMMON = 50_000
+COMMON = 5_000
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, spread: Iterable[str]) -> DataFrame:
