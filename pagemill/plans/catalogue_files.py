@@ -204,14 +204,14 @@ def q_pdf_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # layout in columns
 
-_SHEETS = "c AS (SELECT c_custkey // 40 AS doc_id, c_custkey % 40 AS row, string_split(c_name, '#')[1] || ' ' || string_split(c_name, '#')[2] AS a, c_mktsegment || ' ' || c_acctbal::BIGINT AS b FROM customer)"
+_SHEETS = "c AS (SELECT c_custkey // 40 AS doc_id, c_custkey % 40 AS row, string_split(c_name, '#')[1] || ' ' || string_split(c_name, '#')[2] AS a, c_mktsegment || ' ' || floor(c_acctbal)::BIGINT AS b FROM customer)"
 
 
 def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers on sheets of forty: names to the left of a gutter, segments and balances to the right, a glyph for each character."""
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     side = lambda i, x, s: F.struct(F.lit(i).alias("side"), F.lit(x).cast("double").alias("x0"), s.alias("text"))
-    sides = F.array(side(0, 40, F.concat_ws(" ", F.split("c_name", "#")[0], F.split("c_name", "#")[1])), side(1, 330, F.concat_ws(" ", "c_mktsegment", F.round("c_acctbal").cast("long").cast("string"))))
+    sides = F.array(side(0, 40, F.concat_ws(" ", F.split("c_name", "#")[0], F.split("c_name", "#")[1])), side(1, 330, F.concat_ws(" ", "c_mktsegment", F.floor("c_acctbal").cast("string"))))
     g = c.select(F.floor(k / 40).alias("doc_id"), (k % 40).alias("row"), F.inline(sides)).select("*", F.posexplode(F.split("text", "")).alias("i", "s")).where("s <> ' ' and s <> ''")
     lit = lambda v, name: F.lit(v).alias(name)
     return g.select("doc_id", lit(1, "page_no"), (F.col("row") * 1000 + F.col("side") * 500 + F.col("i")).alias("seq"), "s", lit("F", "font"), lit(10.0, "font_size"), (F.col("x0") + F.col("i") * 5).alias("x"), (F.lit(760.0) - F.col("row") * 14).alias("y"), lit(5.0, "w"), lit(10.0, "h"), lit(0.0, "rotation"), lit("tounicode", "enc_source"))
