@@ -11,11 +11,11 @@ def fold(folds: int, doc_id: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int) -> tuple[DataFrame, dict[int, float]]:
-    """Texts and labels (text, y) of at most ``per_class`` documents of each label, and how many documents each stands for.
+    """Texts and labels (doc_id, text, y, told) of at most ``per_class`` documents of each label, and how many documents each stands for.
 
     ``train`` is a condition on doc_id. The documents whose ids have the least MD5 values are
     taken. Rows without doc_id or with a label other than 0 or 1 don't count; of a doc_id with several labels the
-    least holds, and of one with several texts the one of the least hash.
+    least holds. A doc_id with several texts has a row for each, told apart by ``told``, until ``one_each`` takes one.
     """
     known = labels.where(train & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"))
     order = F.md5(F.col("doc_id").cast("string"))
@@ -25,4 +25,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int
     weight = {y: max(1.0, there.get(y, 0) / per_class) for y in (0, 1)}
     # the sample is bounded by its row count, so it may go to every task
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return texts.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y"), weight
+    return texts.select("doc_id", "text", "y", F.xxhash64("text").alias("told")), weight
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, told, ...) of a sample's documents with one of each doc_id: one of the least ``told``.
+
+    What is broadcast has a row for each sampled doc_id. Texts are moved only where a doc_id repeats.
+    """
+    least = rows.groupBy("doc_id").agg(F.min("told").alias("least"), F.count("*").alias("n"))
+    if least.where("n > 1").isEmpty():
+        return rows
+    kept = F.broadcast(least.select(F.col("doc_id").alias("of"), "least"))
+    return rows.join(kept, (F.col("doc_id") == F.col("of")) & (F.col("told") == F.col("least")), "left_semi").dropDuplicates(["doc_id"])

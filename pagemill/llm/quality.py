@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagemill.llm import kernels as K
-from pagemill.llm.labelled import sample
+from pagemill.llm.labelled import one_each, sample
 from pagemill.llm.storage import Stash
 
 #: Learning takes at most so many documents of each label, and a dictionary so many bytes of them.
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", train=None
     """
     texts, weight = sample(docs, labels, label, F.lit(True) if train is None else train, per_class)
     stash = Stash(docs.sparkSession, "quality")
-    texts = stash.put("sample", texts.where("text <> ''").withColumn("told", F.xxhash64("text")))
+    texts = one_each(stash.put("sample", texts.where("text <> ''")))
     rows = texts.select("y", "doc_id", "told", F.octet_length("text").alias("size")).collect()
     # within a label, documents are taken in turn in the order of a hash
     got = sorted((r.y, int(K.mix64(np.array([r.doc_id], np.int64).view(np.uint64))[0]), r.doc_id, r.told, r.size) for r in rows)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import kernels as K
-from pagemill.llm.labelled import sample
+from pagemill.llm.labelled import one_each, sample
 from pagemill.llm.storage import Stash
 
 #: Weights are hashed into so many places.
@@ -69,11 +69,11 @@ class Ftrl:
 
 
 def _featured(batches):
-    """(doc_id, y, at): a document's distinct feature places, with the bias."""
+    """(doc_id, y, told, at): a document's distinct feature places, with the bias."""
     for batch in batches:
         raw, off = K.spans(batch.column("text"))
         at = [np.append(np.unique(features(raw, off[r : r + 2])[0]), SIZE).astype(np.int32).tobytes() for r in range(len(batch))]
-        yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(at, pa.binary())], ["doc_id", "y", "at"])
+        yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "y", "told")), pa.array(at, pa.binary())], ["doc_id", "y", "told", "at"])
 
 
 def _order(doc_id: int) -> tuple[int, int]:
@@ -82,7 +82,10 @@ def _order(doc_id: int) -> tuple[int, int]:
 
 def _learner(weight: dict[int, float], rounds: int):
     def run(batches):
-        rows = [(*r, np.frombuffer(at, np.int32)) for batch in batches for *r, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "at")), strict=True)]
+        rows = []
+        for batch in batches:
+            for doc_id, y, at in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), batch.column("at"), strict=True):
+                rows.append((doc_id, y, np.frombuffer(at.as_py(), np.int32)))
         rows.sort(key=lambda x: _order(x[0]))
         model = Ftrl()
         for _ in range(rounds):
@@ -112,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, train, per_class: int
     """
     texts, weight = sample(docs, labels, label, train, per_class)
     spark, stash = docs.sparkSession, Stash(docs.sparkSession, "toxicity")
-    made = stash.put("features", texts.mapInArrow(_featured, "doc_id long, y int, at binary"))
+    made = one_each(stash.put("features", texts.mapInArrow(_featured, "doc_id long, y int, told long, at binary"))).select("doc_id", "y", "at")
     sizes = {y: [(r.doc_id, r.n) for r in made.where(F.col("y") == y).select("doc_id", F.octet_length("at").alias("n")).collect()] for y in (0, 1)}
     taken = {y: _within(sizes[y], CLASS_BYTES) for y in (0, 1)}
     weight = {y: weight[y] * len(sizes[y]) / max(1, len(taken[y])) for y in (0, 1)}

@@ -581,7 +581,7 @@ def test_samples_are_bounded_where_doc_ids_repeat_and_texts_are_long(spark, monk
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     texts, weight = labelled.sample(df, labels, "toxic", toxicity.F.lit(True), 100)
-    assert texts.count() == 60 and weight == {0: 1.0, 1: 1.0}
+    assert texts.count() == 111 and labelled.one_each(texts).count() == 60 and weight == {0: 1.0, 1: 1.0}
     monkeypatch.setattr(toxicity, "CLASS_BYTES", 12_000)
     assert toxicity._within([(1, 9000), (2, 9000), (3, 2000)], 12_000) in ([1, 3], [3, 1], [2, 3], [3, 2])
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, labels).where("doc_id not in (7, 8)").collect()}
