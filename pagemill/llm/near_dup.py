@@ -208,7 +208,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def _merged(roots: DataFrame, links: DataFrame, stash: Stash) -> DataFrame:
     """Roots after components, given by their roots, are linked."""
     up = components(links, stash).select(F.col("node").alias("old"), F.col("root").alias("new"))
-    return stash.put("roots", roots.join(up, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")))
+    # each root's new name, which the largest component's many nodes take too
+    names = roots.groupBy("root").agg(F.count("*").alias("n")).join(up, F.col("root") == F.col("old"), "left").select("root", F.coalesce("new", "root").alias("new"), "n")
+    names = stash.put("names", names)
+    return stash.put("roots", join_counted(roots, names, "root", ["node"]).select("node", F.col("new").alias("root")))
 
 
 def _dealt(member: DataFrame, stash: Stash) -> DataFrame:
