@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import is_furniture, ratio
 
 PAGE = ("doc_id", "page_no")
-#: Where glyphs' text can come from; separators that the interpreter adds are not counted.
+# Where glyphs' text can come from; separators that the interpreter adds are not counted.
 SOURCES = ("tounicode", "cidmap", "encoding", "differences", "predefined", "ucs2", "pdfdoc", "fallback", "legacy", "none")
-#: A document keeps so many warnings, the last of which says that there were more; a detail so many bytes.
+# A document keeps so many warnings, the last of which says that there were more; a detail so many bytes.
 CAP, DETAIL = 4096, 256
 
 
 def page_signal(pages: DataFrame) -> DataFrame:
     """``pages`` (null_slot, text, text_error, n_images) with ``signal``: empty, degraded, text or image_only."""
     blank = F.coalesce(F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("")) == ""
+    # fixed values: the signals
     signal = F.when(F.col("null_slot"), "empty").when(F.col("text_error").isNotNull(), "degraded").when(~blank, "text").when(F.col("n_images") > 0, "image_only").otherwise("empty")
     return pages.withColumn("signal", signal)
 
