@@ -18,15 +18,16 @@ import os
 import unicodedata
 import uuid
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.kernels import mix64, powers, seeds64, slices, spans
-from pagemill.llm.storage import Stash, new_path
+from pagemill.llm.storage import new_path
 
 #: Ids of a sequence; sequences of a record batch.
 LENGTH, BATCH = 2048, 64
@@ -254,6 +255,7 @@ class _Shard:
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _MANIFEST = "shard int, docs long, tokens long, sequences long"
+_COUNTED = pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("sequences", pa.int64()), ("start", pa.int64())])
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, length: int):
@@ -291,9 +293,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     by = [F.col("doc_id"), F.xxhash64("text")]
     done = rows.repartitionByRange(*by).sortWithinPartitions(*by, "text").mapInArrow(_writer(folder, tokenizer, end_id, length), _MANIFEST)
-    done = Stash(spark, "manifest").put("manifest", done)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return folder, done.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
+    # a row a task comes to the driver: files that Spark writes would make each task start processes (chmod), in which the executor's memory counts twice
+    shards = sorted(done.collect())
+    starts = list(accumulate((s["tokens"] for s in shards), initial=0))[:-1]
+    columns = [[s[c] for s in shards] for c in ("shard", "docs", "tokens", "sequences")]
+    return folder, spark.createDataFrame(pa.table([*map(pa.array, columns, _COUNTED.types[:-1]), pa.array(starts, pa.int64())], schema=_COUNTED))
 
 
 class TokenFile:

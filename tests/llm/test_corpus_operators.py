@@ -2,6 +2,7 @@
 
 import collections
 import itertools
+import os
 import random
 import re
 import zlib
@@ -261,6 +262,20 @@ def test_token_files_of_texts_that_are_not_utf8(spark):
     assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array([*library(["a\ufffdb"])[0], 0], "<u4").tobytes())]
 
 
+def test_token_files_leave_nothing_but_shards(spark, odd):
+    """Spark writes no files of its own for the manifest: each would start processes beside the executor."""
+    from urllib.parse import urlparse
+
+    from pagemill.llm.storage import shared_dir
+
+    root = urlparse(shared_dir(spark)).path
+    before = set(os.listdir(root))
+    folder, manifest = token_files.write_tokens(odd, queries.tokenizer_path())
+    rows = sorted(manifest.collect())
+    assert {f"{root}/{x}" for x in set(os.listdir(root)) - before} == {urlparse(folder).path}
+    assert [r.start for r in rows] == [sum(q.tokens for q in rows[:i]) for i in range(len(rows))] and sum(r.docs for r in rows) == odd.count()
+
+
 def test_token_files_round_trip(spark, odd, none):
     folder, manifest = token_files.write_tokens(odd, queries.tokenizer_path(), length=64)
     got = sorted(token_files.read_documents(folder, manifest).collect(), key=lambda r: r.start)
