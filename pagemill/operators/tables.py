@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagemill.functions.page_layout import Word
 from pagemill.functions.page_tables import page_tables
@@ -129,27 +131,75 @@ def grid_quality(cells: DataFrame, by: list[str]) -> DataFrame:
 _TABLE = "table_no int, x0 double, top double, x1 double, bottom double, confidence string, warnings array<string>, cells array<array<string>>"
 
 
-def _page(left: pa.Table, right: pa.Table) -> pa.Table:
-    words = [Word(r["s"], r["x"], r["y"], r["w"], r["h"], r["font"], r["font_size"]) for r in left.sort_by([("band_no", "ascending"), ("word_no", "ascending")]).to_pylist()]
-    marks = right.to_pylist()
-    found = page_tables(words, [m["box"] for m in marks if m["stroke"]], [m["box"] for m in marks if not m["stroke"]])
-    page = left if len(left) else right
-    doc, no = (page.column(c)[0].as_py() for c in PAGE)
-    rows = [{"doc_id": doc, "page_no": no, "table_no": i, **dict(zip(("x0", "top", "x1", "bottom"), t.region, strict=True)), "confidence": t.confidence, "warnings": t.warnings, "cells": t.grid} for i, t in enumerate(found)]
-    num = [(c, pa.float64()) for c in ("x0", "top", "x1", "bottom")]
-    return pa.Table.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("table_no", pa.int32()), *num, ("confidence", pa.string()), ("warnings", pa.list_(pa.string())), ("cells", pa.list_(pa.list_(pa.string())))]))
+#: Pages of a batch of tables on its way to the JVM.
+BATCH = 1000
+
+
+def _values(batch: pa.RecordBatch, name: str) -> list:
+    c = batch.column(name)
+    return c.to_pylist() if c.null_count or not pa.types.is_floating(c.type) else c.to_numpy().tolist()
+
+
+def _pages(batches):
+    """(key, words, strokes, rects) of each page, of rows in which a page's stand together, its words in order."""
+    key, words, strokes, rects = None, [], [], []
+    for batch in batches:
+        kinds, s, x, y, w, h, font, size = (_values(batch, c) for c in ("kind", "s", "x", "y", "w", "h", "font", "font_size"))
+        pages = list(zip(*(_values(batch, c) for c in PAGE), strict=True))
+        for i, page in enumerate(pages):
+            if page != key:
+                if key is not None:
+                    yield key, words, strokes, rects
+                key, words, strokes, rects = page, [], [], []
+            if kinds[i] == 0:
+                words.append(Word(s[i], x[i], y[i], w[i], h[i], font[i], size[i]))
+            else:
+                (strokes if kinds[i] == 1 else rects).append((x[i], y[i], w[i], h[i]))
+    if key is not None:
+        yield key, words, strokes, rects
+
+
+def _found(schema: pa.Schema):
+    def run(batches):
+        columns: list[list] = [[] for _ in schema]
+
+        def made() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            for c in columns:
+                c.clear()
+            return out
+
+        for n, (page, words, strokes, rects) in enumerate(_pages(batches), 1):
+            for i, t in enumerate(page_tables(words, strokes, rects)):
+                for c, v in zip(columns, (*page, i, *t.region, t.confidence, t.warnings, t.grid), strict=True):
+                    c.append(v)
+            if n % BATCH == 0:
+                yield made()
+        yield made()
+
+    return run
 
 
 def tables(words: DataFrame, strokes: DataFrame, rects: DataFrame) -> DataFrame:
     """(doc_id, page_no, table_no, region, confidence, warnings, cells): the ruled tables of each page.
 
-    A page's words and rules meet in one task; pages are the unit of work, and no page depends on another.
+    A page's words and rules meet in one task; pages are the unit of work, and no page depends on another. Pages go to Python
+    many at a time, sorted, as a group for each would take longer than its tables.
     """
-    s = strokes.select(*PAGE, F.array("x0", "y0", "x1", "y1").alias("box"), F.lit(True).alias("stroke"))
-    r = rects.select(*PAGE, F.array("min_x", "min_y", "max_x", "max_y").alias("box"), F.lit(False).alias("stroke"))
-    marks = s.unionByName(r)
-    need = words.select(*PAGE, "band_no", "word_no", "s", "x", "y", "w", "h", "font", "font_size")
-    return need.groupBy(*PAGE).cogroup(marks.groupBy(*PAGE)).applyInArrow(_page, f"doc_id long, page_no int, {_TABLE}")
+
+    def rows(df: DataFrame, kind: int, *columns: Column | str) -> DataFrame:
+        ids = [F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("int").alias("page_no")]
+        named = zip(("band_no", "word_no", "s", "x", "y", "w", "h", "font", "font_size"), columns, strict=True)
+        return df.select(*ids, F.lit(kind).alias("kind"), *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in named])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    mark = lambda *box: (none("long"), none("long"), none("string"), *box, none("string"), F.lit(0.0))
+    long = lambda c: F.col(c).cast("long")
+    both = rows(words, 0, long("band_no"), long("word_no"), "s", "x", "y", "w", "h", "font", "font_size")
+    both = both.unionByName(rows(strokes, 1, *mark("x0", "y0", "x1", "y1"))).unionByName(rows(rects, 2, *mark("min_x", "min_y", "max_x", "max_y")))
+    both = both.repartition(*PAGE).sortWithinPartitions(*PAGE, "kind", "band_no", "word_no").drop("band_no", "word_no")
+    kind = StructType.fromDDL(f"doc_id long, page_no int, {_TABLE}")
+    return both.mapInArrow(_found(to_arrow_schema(kind)), kind)
 
 
 def table_cells(found: DataFrame) -> DataFrame:

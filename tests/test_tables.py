@@ -166,3 +166,32 @@ def test_a_header_with_sides_of_its_own_is_one_cell():
     (t,) = page_tables(words, [], rects)
     assert t.grid[-2:] == [["00", "01", "02"], ["10", "11", "12"]] and len(t.grid) == 3 and len(t.grid[0]) == 3
     assert [x for x in t.grid[0] if x] in (["left right"], ["left", "right"])
+
+
+def test_pages_reach_python_many_at_a_time(spark):
+    """Pages that straddle batches are whole, with and without keys, and no page costs a group."""
+    from pyspark.sql import functions as F
+
+    ruled = lambda d, n: [(d, 1, 0.0, 700.0 - 20 * i, 300.0, 700.0 - 20 * i) for i in range(n + 1)] + [(d, 1, 100.0 * j, 700.0, 100.0 * j, 700.0 - 20 * n) for j in range(4)]
+    said = lambda d, n: [(d, 1, r, j, f"{d}.{r}.{j}", 100.0 * j + 5, 685.0 - 20 * r, 40.0, 10.0, "F", 10.0) for r in range(n) for j in range(3)]
+    sizes = {None: 2, 1: 1, 2: 9, 3: 4, 4: 7}
+    num = lambda names: ", ".join(f"{c} double" for c in names.split())
+    words = spark.createDataFrame([r for d, n in sizes.items() for r in said(d, n)], f"doc_id long, page_no int, band_no int, word_no int, s string, {num('x y w h')}, font string, font_size double").orderBy(F.xxhash64("s"))
+    strokes = spark.createDataFrame([r for d, n in sizes.items() for r in ruled(d, n)] + ruled(9, 2), f"doc_id long, page_no int, {num('x0 y0 x1 y1')}")
+    rects = strokes.limit(0).toDF("doc_id", "page_no", "min_x", "min_y", "max_x", "max_y")
+    found = tables.tables(words, strokes, rects)
+    assert "CoGroups" not in found._jdf.queryExecution().toString()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: r.cells for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {d: [[f"{d}.{r}.{j}" for j in range(3)] for r in range(n)] for d, n in sizes.items()}
+
+
+def test_pages_of_one_form_have_their_own_words():
+    rules = [(0.0, 0.0, 100.0, 0.0), (0.0, -20.0, 100.0, -20.0), (0.0, 0.0, 0.0, -20.0), (50.0, 0.0, 50.0, -20.0), (100.0, 0.0, 100.0, -20.0)]
+    for s in ("a", "b"):
+        words = [Word(s, 5.0, -15.0, 10.0, 10.0, "F", 10.0), Word("z", 60.0, -15.0, 10.0, 10.0, "F", 10.0)]
+        assert page_tables(words, [list(r) for r in rules], [])[0].grid == [[s, "z"]]
