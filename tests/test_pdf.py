@@ -269,6 +269,28 @@ def test_encrypted_files(v, password):
     assert [r[5] for r in of(data, "page", ("wrong", password))] == ["secret"]
 
 
+def test_files_locked_alike_share_their_keys(monkeypatch):
+    """Deriving a key of the newest revision takes tens of thousands of blocks; a second file under the same entries takes none."""
+    data, blocks = _encrypted("open sesame", 5), []
+    plain = crypt.aes_encrypt
+    monkeypatch.setattr(crypt, "aes_encrypt", lambda key, iv, data: (blocks.append(len(data) // 16), plain(key, iv, data))[1])
+    for _ in range(2):
+        blocks.clear()
+        assert [r[5] for r in of(data, "page", ("wrong", "open sesame"))] == ["secret"]
+    assert not blocks
+    other = _encrypted("another", 5)
+    assert of(other, "document", ("wrong", "open sesame"))[0][2].startswith("invalid_password")
+
+
+def test_ciphers_of_many_blocks():
+    """The CBC example of NIST SP 800-38A, and RFC 6229's keystream at 240 and 256."""
+    key, iv = bytes.fromhex("2b7e151628aed2a6abf7158809cf4f3c"), bytes(range(16))
+    plain = bytes.fromhex("6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e5130c81c46a35ce411e5fbc1191a0a52ef")
+    assert crypt.aes_encrypt(key, iv, plain).hex() == "7649abac8119b246cee98e9b12e9197d5086cb9b507219ee95db113a917678b273bed6b8e3c1743b7116e69e22229516"
+    stream = crypt.rc4(bytes([1, 2, 3, 4, 5]), bytes(272))
+    assert stream[:16].hex() == "b2396305f03dc027ccc3524a0a1118a8" and stream[240:256].hex() == "28cb1132c96ce286421dcaadb8b69eae" and stream[256:].hex() == "1cfcf62b03eddb641d77dfcf7f8d8c93"
+
+
 def test_structure():
     catalog = "/Names << /Dests << /Kids [10 0 R] >> /EmbeddedFiles << /Names [(k) 11 0 R (none) << >>] >> >> /PageLabels << /Nums [0 << /S /r >> 5 << /P (A-) /S /D /St 3 >>] >> /Outlines 13 0 R /AcroForm << /Fields [15 0 R] >>"
     more = {
