@@ -187,7 +187,8 @@ def q_pdf_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     num = lambda c: c.cast("long").cast("string")
     x, y, w, h = F.col("l_linenumber") * 10, F.col("l_orderkey") % 700, F.col("l_quantity"), F.col("l_partkey") % 50 + 1
-    drawn = F.format_string("%1$s %2$s %3$s %4$s re f %1$s %2$s m %5$s %2$s l S q %3$s 0 0 %4$s %1$s %2$s cm /Im Do BI /W 1 /H 1 ID x EI Q", num(x), num(y), num(w), num(h), num(x + w))
+    at, wide, high = F.concat_ws(" ", num(x), num(y)), num(w), num(h)
+    drawn = F.concat_ws(" ", at, wide, high, F.lit("re f"), at, F.lit("m"), num(x + w), num(y), F.lit("l S q"), wide, F.lit("0 0"), high, at, F.lit("cm /Im Do BI /W 1 /H 1 ID x EI Q"))
     sheets = li.groupBy(F.col("l_suppkey").alias("doc_id")).agg(F.array_join(F.collect_list(drawn), "\n").alias("text"))
 
     def make(d: int, lines: list[str]) -> bytes:
@@ -198,8 +199,10 @@ def q_pdf_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = W.files(sheets, make)
     kinds = (("rect", "rect", ("min_x", "min_y", "max_x", "max_y")), ("stroke", "stroke", ("x0", "y0", "x1", "y1")), ("image", "image_draw", ("x", "y", "w", "h")))
-    parts = [pdf.parse(files, relation).groupBy("path").agg(F.count("*").alias("n"), *[F.sum(c).alias(to) for c, to in zip(columns, "abcd", strict=True)]).select("path", F.lit(kind).alias("kind"), "n", *"abcd") for kind, relation, columns in kinds]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    drawn = pdf.parse_drawn(files, tuple(relation for _, relation, _ in kinds))
+    of = lambda i: F.coalesce(*[F.when(F.col("relation") == relation, F.col(columns[i])) for _, relation, columns in kinds])
+    name = F.coalesce(*[F.when(F.col("relation") == relation, kind) for kind, relation, _ in kinds])
+    return drawn.groupBy("path", name.alias("kind")).agg(F.count("*").alias("n"), *[F.sum(of(i)).alias(to) for i, to in enumerate("abcd")])
 
 
 # layout in columns

@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from pagemill.sources import pdf_structure as S
-from pagemill.sources.content import read_page
+from pagemill.sources.content import Page, read_page
 from pagemill.sources.crypt import PasswordError
 from pagemill.sources.objects import Document, box, rotation
 
@@ -103,12 +103,14 @@ def _safe(data: bytes, passwords: tuple[str, ...], wanted: frozenset[str]) -> It
             yield "document", 0, None, str(e) or type(e).__name__, {}, None
 
 
-def parse(files: DataFrame, relation: str, passwords: tuple[str, ...] = ()) -> DataFrame:
-    """One relation of binary files (path, content), batch or streaming: path, and the columns that RELATIONS names.
+def parse(files: DataFrame, relation: str, passwords: tuple[str, ...] = (), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One relation of binary files (path, content), batch or streaming: path, and the columns that RELATIONS names, or only ``columns`` of them.
 
     Whatever isn't a PDF by its first bytes is told apart before any content reaches Python.
     """
     kind = StructType.fromDDL(f"path string, {RELATIONS[relation]}")
+    if columns is not None:
+        kind = StructType([kind["path"], *[kind[c] for c in columns]])
     schema = _arrow(kind)
 
     def run(batches):
@@ -119,17 +121,48 @@ def parse(files: DataFrame, relation: str, passwords: tuple[str, ...] = ()) -> D
     return files.select("path", "content").mapInArrow(run, kind)
 
 
+def parse_drawn(files: DataFrame, relations: tuple[str, ...], passwords: tuple[str, ...] = ()) -> DataFrame:
+    """Several relations that pages draw, each file read once: path, relation, and all their columns, null where a relation has none such."""
+    fields = {f.name: f for r in relations for f in StructType.fromDDL(RELATIONS[r])}
+    kind = StructType([*StructType.fromDDL("path string, relation string"), *fields.values()])
+    schema, names = _arrow(kind), list(fields)
+    own = {r: [names.index(f.name) for f in StructType.fromDDL(RELATIONS[r])] for r in relations}
+
+    def run(batches):
+        columns: list[list] = [[] for _ in schema]
+
+        def made() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            for c in columns:
+                c.clear()
+            return out
+
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                for n, page in _pages(data.as_py() or b"", passwords, geometry=bool({"glyph", "show_string"} & set(relations))):
+                    for r in relations:
+                        found = getattr(page, DRAWN[r])
+                        values = dict(zip(own[r], ([n] * len(found), range(len(found)), *zip(*found, strict=True)), strict=False))
+                        for i, c in enumerate(columns):
+                            c.extend([path] * len(found) if i == 0 else [r] * len(found) if i == 1 else values.get(i - 2) or [None] * len(found))
+                    if len(columns[0]) >= BATCH:
+                        yield made()
+        yield made()
+
+    return files.select("path", "content").mapInArrow(run, kind)
+
+
 #: Relations whose rows are many a page, and which of a page's lists holds them.
 DRAWN = {"glyph": "glyphs", "rect": "rects", "stroke": "strokes", "image_draw": "images", "show_string": "shown"}
 
 
-def _drawn(data: bytes, passwords: tuple[str, ...], relation: str) -> Iterator[tuple[int, list[tuple]]]:
-    """(page_no, rows) of a relation that a page draws; a file that can't be read has none."""
+def _pages(data: bytes, passwords: tuple[str, ...], geometry: bool) -> Iterator[tuple[int, Page]]:
+    """(page_no, what it draws) of a file's pages; a file that can't be read has none."""
     try:
         doc = Document(data, passwords)
         for n, page in doc.pages():
             if page is not None:
-                yield n, getattr(read_page(doc, page, geometry=relation in ("glyph", "show_string")), DRAWN[relation])
+                yield n, read_page(doc, page, geometry)
     except Exception:  # noqa: BLE001  the document's row has the error
         return
 
@@ -137,6 +170,8 @@ def _drawn(data: bytes, passwords: tuple[str, ...], relation: str) -> Iterator[t
 def _batches(files_: Iterable[tuple[str, bytes]], passwords: tuple[str, ...], relation: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A relation of files (path, content) as record batches, filled column by column."""
     columns: list[list] = [[] for _ in schema]
+    every = ["path", *[x.split()[0] for x in RELATIONS[relation].split(", ")]]
+    kept = [every.index(f.name) for f in schema]
 
     def made() -> pa.RecordBatch:
         out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -146,15 +181,18 @@ def _batches(files_: Iterable[tuple[str, bytes]], passwords: tuple[str, ...], re
 
     for path, data in files_:
         if relation in DRAWN:
-            for n, found in _drawn(data, passwords, relation):
-                for c, values in zip(columns, ([path] * len(found), [n] * len(found), range(len(found)), *zip(*found, strict=True)), strict=False):
-                    c.extend(values)
+            for n, page in _pages(data, passwords, relation in ("glyph", "show_string")):
+                if found := getattr(page, DRAWN[relation]):
+                    values = ([path] * len(found), [n] * len(found), range(len(found)), *zip(*found, strict=True))
+                    for c, i in zip(columns, kept, strict=True):
+                        c.extend(values[i])
                 if len(columns[0]) >= BATCH:
                     yield made()
         else:
             for r in _safe(data, passwords, frozenset([relation])):
-                for c, v in zip(columns, (path, *r[1:]), strict=True):
-                    c.append(v)
+                row = (path, *r[1:])
+                for c, i in zip(columns, kept, strict=True):
+                    c.append(row[i])
                 if len(columns[0]) >= BATCH:
                     yield made()
     yield made()

@@ -357,3 +357,23 @@ def test_layout_joins_glyphs_and_spaceless_scripts():
     got = page_layout.page_lines(*glyphs([("H", 0, 0), ("i", 5, 0.02), (" ", 10, 0), ("x", 30, 0), ("", 31, 0), ("\n", 36, 0)]))
     assert [w.s for w in got[0].words] == ["Hi", "x"] and got[0].s == "Hi x"
     assert page_layout.joined(["日", "本", "a", "한", "국"]) == "日本 a 한 국"
+
+
+def test_drawn_relations_in_one_reading(spark, sf):
+    """Rectangles, strokes and images together are what each reading alone gives, and a query reads its files once."""
+    from pyspark.sql import functions as F
+
+    from pagemill.plans import catalogue_files
+
+    content = "2 0 0 2 10 20 cm 1 2 3 4 re f 1 2 m 5 2 l 6 7 l S [(a) -500 (b)] TJ BI /W 1 /H 1 ID x EI 5 0 R null (c) Tj"
+    files = spark.createDataFrame([("a", one_page(content)), ("b", one_page("9 9 9 9 re f")), ("c", b"no file"), ("d", None)], "path string, content binary")
+    relations = ("rect", "stroke", "image_draw")
+    got = pdf.parse_drawn(files, relations).cache()
+    for r in relations:
+        alone = pdf.parse(files, r)
+        rows = got.where(F.col("relation") == r).select(alone.columns)
+        assert sorted(rows.collect()) == sorted(alone.collect()) and rows.count() > 0
+    few = pdf.parse(files, "rect", columns=("max_y", "page_no"))
+    assert few.columns == ["path", "max_y", "page_no"] and sorted(few.collect()) == sorted(pdf.parse(files, "rect").select(few.columns).collect())
+    plan = catalogue_files.q_pdf_graphics(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
