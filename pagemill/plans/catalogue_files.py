@@ -99,12 +99,9 @@ FROM l WHERE replace(line, ' ', '') <> ''"""
 )
 def q_pdf_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """INT-1, 3, 6, 7, 10, 11: pages turned by quarters, drawn by forms with matrices, with kerns for blanks."""
-    g = pdf.parse(W.files(table(spark, sf_dir, "documents"), lambda d, lines: W.turned(lines, d % 4 * 90)), "glyph")
-    mark = F.col("enc_source") == "separator"
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~mark, F.struct("seq", "s")))), lambda e: e["s"]), "")
-    at = lambda c: F.round(c, 6) + 0.0
-    g = g.withColumn("y", at(F.col("y"))).groupBy("path", "page_no", "y").agg(F.count_if(~mark).alias("n"), at(F.min(F.when(~mark, F.col("x")))).alias("x"), at(F.max(F.when(~mark, F.col("x")))).alias("last_x"), at(F.max(F.abs("rotation"))).alias("rotation"), F.md5(text).alias("s"), F.count_if(mark).alias("n_breaks"))
-    return g.where("n > 0")
+    g = pdf.baselines(W.files(table(spark, sf_dir, "documents"), lambda d, lines: W.turned(lines, d % 4 * 90)))
+    at = lambda c: (F.round(c, 6) + 0.0).alias(c)
+    return g.where("n > 0").select("path", "page_no", "y", "n", at("x"), at("last_x"), at("rotation"), F.md5("s").alias("s"), "n_breaks")
 
 
 @query(f"WITH {_PAGES} SELECT doc_id::VARCHAR AS path, md5(string_agg(text, '' ORDER BY page)) AS text, NULL::VARCHAR AS text_error FROM p GROUP BY doc_id")

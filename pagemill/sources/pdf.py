@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -130,13 +132,6 @@ def parse_drawn(files: DataFrame, relations: tuple[str, ...], passwords: tuple[s
 
     def run(batches):
         columns: list[list] = [[] for _ in schema]
-
-        def made() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-            for c in columns:
-                c.clear()
-            return out
-
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 for n, page in _pages(data.as_py() or b"", passwords, geometry=bool({"glyph", "show_string"} & set(relations))):
@@ -146,8 +141,8 @@ def parse_drawn(files: DataFrame, relations: tuple[str, ...], passwords: tuple[s
                         for i, c in enumerate(columns):
                             c.extend([path] * len(found) if i == 0 else [r] * len(found) if i == 1 else values.get(i - 2) or [None] * len(found))
                     if len(columns[0]) >= BATCH:
-                        yield made()
-        yield made()
+                        yield _emptied(columns, schema)
+        yield _emptied(columns, schema)
 
     return files.select("path", "content").mapInArrow(run, kind)
 
@@ -156,6 +151,52 @@ def parse_drawn(files: DataFrame, relations: tuple[str, ...], passwords: tuple[s
 DRAWN = {"glyph": "glyphs", "rect": "rects", "stroke": "strokes", "image_draw": "images", "show_string": "shown"}
 
 
+def _emptied(columns: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    """The columns' values as a batch; the columns are empty afterwards."""
+    out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    for c in columns:
+        c.clear()
+    return out
+
+
+_BASELINE = "path string, page_no int, y double, n long, x double, last_x double, rotation double, s string, n_breaks long"
+
+
+def baselines(files: DataFrame, passwords: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each height (to six places) at which a page of binary files (path, content) has glyphs.
+
+    n glyphs and their text ``s`` in the order of the content, the first and last of their places, the largest turn, and how
+    many separators stand there. It is what grouping the relation "glyph" gives, without a row for each glyph.
+    """
+    kind = StructType.fromDDL(_BASELINE)
+    schema = _arrow(kind)
+
+    def run(batches):
+        columns: list[list] = [[] for _ in schema]
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                for n, page in _pages(data.as_py() or b"", passwords, geometry=True):
+                    for line in _lines(page.glyphs):
+                        for c, v in zip(columns, (path, n, *line), strict=True):
+                            c.append(v)
+                    if len(columns[0]) >= BATCH:
+                        yield _emptied(columns, schema)
+        yield _emptied(columns, schema)
+
+    return files.select("path", "content").mapInArrow(run, kind)
+
+
+def _lines(glyphs: list[tuple]) -> Iterator[tuple]:
+    """(y, n, x, last_x, rotation, s, n_breaks) of each height; glyphs are (s, font, size, x, y, w, h, rotation, source)."""
+    by_height: dict[float, list[tuple]] = {}
+    for y, run in groupby(glyphs, itemgetter(4)):
+        by_height.setdefault(round(y, 6) + 0.0, []).extend(run)
+    for y, every in by_height.items():
+        own = [g for g in every if g[8] != "separator"]
+        xs = [g[3] for g in own]
+        yield y, len(own), min(xs, default=None), max(xs, default=None), max([abs(g[7]) for g in every]), "".join([g[0] for g in own]), len(every) - len(own)
+
+
 def _pages(data: bytes, passwords: tuple[str, ...], geometry: bool) -> Iterator[tuple[int, Page]]:
     """(page_no, what it draws) of a file's pages; a file that can't be read has none."""
     try:
@@ -172,13 +213,6 @@ def _batches(files_: Iterable[tuple[str, bytes]], passwords: tuple[str, ...], re
     columns: list[list] = [[] for _ in schema]
     every = ["path", *[x.split()[0] for x in RELATIONS[relation].split(", ")]]
     kept = [every.index(f.name) for f in schema]
-
-    def made() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-        for c in columns:
-            c.clear()
-        return out
-
     for path, data in files_:
         if relation in DRAWN:
             for n, page in _pages(data, passwords, relation in ("glyph", "show_string")):
@@ -187,15 +221,15 @@ def _batches(files_: Iterable[tuple[str, bytes]], passwords: tuple[str, ...], re
                     for c, i in zip(columns, kept, strict=True):
                         c.extend(values[i])
                 if len(columns[0]) >= BATCH:
-                    yield made()
+                    yield _emptied(columns, schema)
         else:
             for r in _safe(data, passwords, frozenset([relation])):
                 row = (path, *r[1:])
                 for c, i in zip(columns, kept, strict=True):
                     c.append(row[i])
                 if len(columns[0]) >= BATCH:
-                    yield made()
-    yield made()
+                    yield _emptied(columns, schema)
+    yield _emptied(columns, schema)
 
 
 def _arrow(kind: StructType) -> pa.Schema:
